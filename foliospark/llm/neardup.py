@@ -90,46 +90,54 @@ def variant_keys(sign: np.ndarray, segments: int = SEGMENTS, segment: int = SEGM
     return (keys ^ (keys >> np.uint64(32))).reshape(-1)
 
 
-def _signed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """A row per (text field, row): digest of the squeezed text, number of runs, variant keys."""
+def _digest(squeezed: str) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(squeezed.encode("utf-8", "surrogatepass"))
+
+
+def _fields(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """A row per record field with text to compare: digest of the squeezed text, field, record."""
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        import xxhash
+        for row_id, *texts in rows:
+            if row_id is None:
+                continue
+            for f, text in enumerate(texts):
+                if text and len(squeezed := squeeze(text)) >= RUN:
+                    yield _digest(squeezed), f, row_id
+
+    return map_rows(df.select(id_col, *fields), run, "digest binary, field int, row_id bigint")
 
+
+def _signed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """As ``_fields``, with the variant keys where the text occurs first in its partition."""
+
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         orders = hash_orders(SEGMENTS * SEGMENT)
-        seen: dict[bytes, tuple[int, list[int]]] = {}
+        seen: set[bytes] = set()
         for row_id, *texts in rows:
             if row_id is None:
                 continue
             for f, text in enumerate(texts):
-                if not text:
-                    continue
-                squeezed = squeeze(text)
-                if len(squeezed) < RUN:
-                    continue
-                digest = xxhash.xxh3_128_digest(squeezed.encode("utf-8", "surrogatepass"))
-                known = seen.get(digest)
-                if known is None:
-                    hashes = run_hashes(squeezed)
-                    known = len(hashes), variant_keys(signature(hashes, orders)).view(np.int64).tolist()
-                    if len(seen) > 4096:
-                        seen.clear()
-                    seen[digest] = known
-                yield digest, f, row_id, known[0], known[1]
-
-    return map_rows(df.select(id_col, *fields), run, "digest binary, field int, row_id bigint, size int, keys array<bigint>", flush=2048)
+                if text and len(squeezed := squeeze(text)) >= RUN:
+                    digest, keys = _digest(squeezed), None
+                    if digest not in seen:
+                        seen.add(digest)
+                        keys = variant_keys(signature(run_hashes(squeezed), orders)).view(np.int64).tolist()
+                    yield digest, row_id * len(fields) + f, keys
+
+    return map_rows(df.select(id_col, *fields), run, "digest binary, text_id bigint, keys array<bigint>", flush=2048)
 
 
 def _texts(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """The squeezed texts again, with their digest."""
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        import xxhash
-
         for texts in rows:
             for text in dict.fromkeys(texts):
                 if text and len(squeezed := squeeze(text)) >= RUN:
-                    yield xxhash.xxh3_128_digest(squeezed.encode("utf-8", "surrogatepass")), squeezed
+                    yield _digest(squeezed), squeezed
 
     return map_rows(df.select(*fields), run, "digest binary, body string", flush=1024)
 
@@ -143,6 +151,8 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
         for text_a, text_b, body_a, body_b in rows:
             if text_a != last:
                 last, runs = text_a, {body_a[i : i + RUN] for i in range(len(body_a) - RUN + 1)}
+            if min(len(body_a), len(body_b)) < RUN:
+                continue
             other = {body_b[i : i + RUN] for i in range(len(body_b) - RUN + 1)}
             common = len(runs & other)
             if 1000 * common >= per_mille * (len(runs) + len(other) - common):
@@ -158,21 +168,16 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], threshold: fl
     equal texts. ``links``: text_a < text_b, alike; one row per pair of different texts at least
     ``threshold`` alike.
     """
-    signed = cut_lineage(_signed(df, id_col, fields))
-    named = signed.groupBy("digest").agg(
-        F.min(F.col("row_id") * len(fields) + F.col("field")).alias("text_id"), F.first("size").alias("size")
-    )
-    named = cut_lineage(named)
+    number = F.col("row_id") * len(fields) + F.col("field")
+    listed = cut_lineage(_fields(df, id_col, fields))
+    named = listed.groupBy("digest").agg(F.min(number).alias("text_id"))
     label = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field") + 1)
-    members = signed.join(named.select("digest", "text_id"), "digest").select("text_id", label.alias("field"), "row_id").distinct()
-    # one row per class carries its keys: the one whose id named the class
-    owner = signed.withColumn("text_id", F.col("row_id") * len(fields) + F.col("field")).dropDuplicates(["text_id"])
-    owner = owner.join(named.select("text_id"), "text_id", "left_semi")
-    index = owner.select("text_id", "size", F.explode("keys").alias("key"))
-    a = index.select(F.col("text_id").alias("text_a"), F.col("size").alias("size_a"), "key")
-    b = index.select(F.col("text_id").alias("text_b"), F.col("size").alias("size_b"), "key")
-    near = (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")) & (F.col("text_a") < F.col("text_b"))
-    pairs = cut_lineage(a.join(b, "key").filter(near).select("text_a", "text_b").distinct())
+    members = listed.join(named, "digest").select("text_id", label.alias("field"), "row_id").distinct()
+    # one shuffle brings the copies of a text together and keeps the keys of one of them
+    classes = _signed(df, id_col, fields).groupBy("digest").agg(F.min("text_id").alias("text_id"), F.first("keys", ignorenulls=True).alias("keys"))
+    index = classes.select("text_id", F.explode("keys").alias("key"))
+    a, b = index.select(F.col("text_id").alias("text_a"), "key"), index.select(F.col("text_id").alias("text_b"), "key")
+    pairs = cut_lineage(a.hint("merge").join(b.hint("merge"), "key").filter("text_a < text_b").select("text_a", "text_b").distinct())
     wanted = pairs.select(F.col("text_a").alias("text_id")).union(pairs.select("text_b")).distinct()
     wanted = named.join(wanted, "text_id", "left_semi").select("digest", "text_id")
     bodies = cut_lineage(_texts(df, id_col, fields).join(wanted, "digest").dropDuplicates(["text_id"]).select("text_id", "body"))
