@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
+from .garble import garbled_ids, repair_encoding
+from .lookalike import consistent_spelling, misspelled_ids
+from .mixture import mixture, shares_reached
 from .neardup import near_duplicate_classes, near_duplicate_pairs
+from .subjects import document_subjects
 from .tokenizer import encode_ids
 
 TEXT_FIELDS = ["structured_text", "display_text"]
@@ -21,15 +25,71 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "doc_results"), "result_id", TEXT_FIELDS)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results spelled with characters other than the ordinary ones."""
+    return misspelled_ids(table(spark, sf_dir, "doc_results"), "result_id", "structured_text")
+
+
+def p2_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent spelling of the results that needed one."""
+    return consistent_spelling(table(spark, sf_dir, "doc_results"), "result_id", "structured_text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results with a passage decoded with the wrong encoding."""
+    return garbled_ids(table(spark, sf_dir, "doc_results"), "result_id", "structured_text")
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected results with their text restored where possible."""
+    found = repair_encoding(table(spark, sf_dir, "doc_results"), "result_id", "structured_text")
+    return found.filter("affected").select("result_id", "restored", "lost").dropDuplicates(["result_id"])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_ids(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of the named sources in shuffled shards."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the sources of the mixture really reach."""
+    return shares_reached(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, samples, areas = (table(spark, sf_dir, t) for t in ("documents", "subject_samples", "subject_areas"))
+    return document_subjects(documents, "doc_id", "text", samples, areas)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of every document."""
+    return _p8(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and sentences of the corpus by subject."""
+    from pyspark.sql import functions as F
+
+    return _p8(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("about").alias("sentences"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p2_found": p2_found,
+    "p2_spelling": p2_spelling,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
     "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
 
 ORACLES: dict[str, str] = {}
