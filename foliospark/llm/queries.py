@@ -9,6 +9,7 @@ from .garble import garbled_ids, repair_encoding
 from .lookalike import consistent_spelling, misspelled_ids
 from .mixture import mixture, shares_reached
 from .neardup import near_duplicate_classes, near_duplicate_pairs
+from .personal import masked, personal_data, train_on
 from .subjects import document_subjects
 from .tokenizer import encode_ids
 
@@ -46,6 +47,17 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("affected").select("result_id", "restored", "lost").dropDuplicates(["result_id"])
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in both texts of the results and in the detector's snippets."""
+    return personal_data(table(spark, sf_dir, "doc_results"), table(spark, sf_dir, "pii_findings"))
+
+
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structured texts with typed placeholders."""
+    results = table(spark, sf_dir, "doc_results")
+    return masked(results, "result_id", "structured_text", train_on(results, "result_id", "structured_text")).dropDuplicates(["result_id"])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_ids(table(spark, sf_dir, "documents"), "text", ["doc_id"])
@@ -85,6 +97,8 @@ QUERIES = {
     "p2_spelling": p2_spelling,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p4_found": p4_found,
+    "p4_masked": p4_masked,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
