@@ -10,6 +10,7 @@ from .lookalike import consistent_spelling, misspelled_ids
 from .mixture import mixture, shares_reached
 from .neardup import near_duplicate_classes, near_duplicate_pairs
 from .personal import masked, personal_data, train_on
+from .scans import scanned_noise, scanned_text
 from .subjects import document_subjects
 from .tokenizer import encode_ids
 
@@ -58,6 +59,16 @@ def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked(results, "result_id", "structured_text", train_on(results, "result_id", "structured_text")).dropDuplicates(["result_id"])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noise of the page in each scanned result."""
+    return scanned_noise(table(spark, sf_dir, "doc_results"), "result_id", "structured_text", "doc_type")
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned results as continuous paragraphs."""
+    return scanned_text(table(spark, sf_dir, "doc_results"), "result_id", "structured_text", "doc_type").dropDuplicates(["result_id"])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_ids(table(spark, sf_dir, "documents"), "text", ["doc_id"])
@@ -99,6 +110,8 @@ QUERIES = {
     "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_masked": p4_masked,
+    "p5_found": p5_found,
+    "p5_repaired": p5_repaired,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
