@@ -41,7 +41,7 @@ def company_number(value: Column) -> Column:
 def luhn(value: Column) -> Column:
     """13 to 19 digits, blanks and hyphens left out, that pass the Luhn check."""
     digits = F.regexp_replace(value, r"(?U)[\s\x1c-\x1f-]", "")
-    return F.coalesce(F.when(F.regexp_like(digits, F.lit(r"\A[0-9]{13,19}\z")), F.luhn_check(digits)), F.lit(False))
+    return F.coalesce(F.when(F.regexp_like(digits, F.lit(r"\A[0-9]{13,19}\z")), F.call_function("luhn_check", digits)), F.lit(False))
 
 
 #: Validators that a rule may name.

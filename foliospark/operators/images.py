@@ -81,7 +81,7 @@ def _sample(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
 def deskew(image: np.ndarray) -> np.ndarray:
     """Straightened if tilted by 0.3 to 15 degrees; more is a misjudgement, less not worth it."""
     angle = skew_angle(image)
-    return image if angle is None or not LEAST_ANGLE <= abs(angle) <= MOST_ANGLE else rotate(image, angle)
+    return image if angle is None or not LEAST_ANGLE <= abs(angle) <= MOST_ANGLE else rotate(image, -angle)
 
 
 def median3(image: np.ndarray) -> np.ndarray:

@@ -63,15 +63,18 @@ def zip_names(content: pd.Series) -> pd.Series:
 
 def classify_zip(names: Column) -> Column:
     """word, excel, ppt or unknown, by the first of their folders that occurs; corrupted without a listing."""
-    kind = F.lit("unknown")
-    for folder, name in reversed((("word/", "word"), ("xl/", "excel"), ("ppt/", "ppt"))):
-        kind = F.when(F.exists(names, lambda n, f=folder: F.startswith(n, F.lit(f))), F.lit(name)).otherwise(kind)
+
+    def holds(folder: str) -> Column:
+        return F.exists(names, lambda n: F.startswith(n, F.lit(folder)))
+
+    kind = F.when(holds("word/"), F.lit("word")).when(holds("xl/"), F.lit("excel")).when(holds("ppt/"), F.lit("ppt")).otherwise(F.lit("unknown"))
     return F.when(names.isNull(), F.lit("corrupted")).otherwise(kind)
 
 
 @lazy_udf("struct<eml:boolean,text:boolean>")
 def _text_kind(header: pd.Series, whole: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([{"eml": looks_like_eml(h), "text": looks_like_text(h, bool(w))} for h, w in zip(header, whole)])
+    rows = [{"eml": False, "text": False} if h is None else {"eml": looks_like_eml(h), "text": looks_like_text(h, bool(w))} for h, w in zip(header, whole)]
+    return pd.DataFrame(rows, columns=["eml", "text"])
 
 
 def looks_like_eml(header: bytes) -> bool:
