@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import html
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .udfs import lazy_udf
+
 #: Java's Unicode blanks lack the four separators U+001C..U+001F.
 BLANK = r"[\s\x1c-\x1f]"
 _WIDE_DIGITS = "０１２３４５６７８９—‒–"
@@ -77,16 +81,11 @@ def label_list(labels: str) -> list[str]:
     return [part.strip() for part in re.split("[,，]", labels) if part.strip()]
 
 
-def html_unescape(text: Column) -> Column:
-    """All named and numeric character references resolved (Spark has no such function)."""
-    import html
-
-    import pandas as pd
+@lazy_udf("string")
+def _unescape(values: pd.Series) -> pd.Series:
+    return values.map(html.unescape, na_action="ignore")
 
-    from .udfs import lazy_udf
 
-    @lazy_udf("string")
-    def unescape(values: pd.Series) -> pd.Series:
-        return values.map(html.unescape, na_action="ignore")
-
-    return F.when(F.contains(text, F.lit("&")), unescape(text)).otherwise(text)
+def html_unescape(text: Column) -> Column:
+    """All named and numeric character references resolved (Spark has no such function)."""
+    return F.when(F.contains(text, F.lit("&")), _unescape(text)).otherwise(text)
