@@ -48,4 +48,5 @@ def html_table_to_rows(html: Column) -> Column:
 
 
 def html_table_to_markdown(html: Column) -> Column:
-    return table_to_markdown(html_table_to_rows(html))
+    """The tables of an HTML text as one Markdown table; the rows are parsed once and bound to a variable."""
+    return F.get(F.transform(F.array(html_table_to_rows(html)), table_to_markdown), F.lit(0))
