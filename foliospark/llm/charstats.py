@@ -19,7 +19,8 @@ def character_costs(df: DataFrame, column: str) -> dict[str, float]:
     """Bits of surprise of each character: minus the binary logarithm of the share of texts with it.
 
     All texts count. Only the table of characters reaches the driver: at most one row for each
-    code point of Unicode, whatever the corpus. An empty corpus gives an empty table.
+    code point of Unicode, whatever the corpus. Key '' holds the cost of a character that no
+    text has. An empty corpus gives an empty table.
     """
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
@@ -36,4 +37,5 @@ def character_costs(df: DataFrame, column: str) -> dict[str, float]:
     counted = map_rows(df.select(column), run, "point int, n bigint").groupBy("point").agg(F.sum("n").alias("n")).collect()
     table = {row["point"]: row["n"] for row in counted}
     total = table.pop(-1, 0)
-    return {chr(p): min(WORST, max(0.1, math.log2((total + 1) / (n + 0.5)))) for p, n in table.items() if p >= 0}
+    costs = {chr(p): min(WORST, max(0.1, math.log2((total + 1) / (n + 0.5)))) for p, n in table.items() if p >= 0}
+    return costs | {"": min(WORST, math.log2((total + 1) / 0.5))} if costs else {}

@@ -76,7 +76,8 @@ class GarbleSearch:
 
     def __init__(self, costs: dict[str, float]):
         self.costs = costs
-        ordinary = {c for c, bits in costs.items() if bits <= ORDINARY_BITS and self._plain(c)}
+        self.unseen = costs.get("", WORST)
+        ordinary = {c for c, bits in costs.items() if c and bits <= ORDINARY_BITS and self._plain(c)}
         ordinary |= {chr(c) for c in range(32, 127)} | set("\n\r\t　‘’“”—–…、。，：；？！（）「」『』《》·℃")
         self.odd = re.compile("[^" + re.escape("".join(sorted(ordinary))) + "]")
 
@@ -86,10 +87,10 @@ class GarbleSearch:
         return "㐀" <= char <= "鿿" or "！" <= char <= "～" or "　" <= char <= "〿"
 
     def cost(self, text: str) -> float:
-        get = self.costs.get
+        get, unseen = self.costs.get, self.unseen
         total = 0.0
         for char in text:
-            bits = get(char, WORST)
+            bits = get(char, unseen)
             total += bits if bits < 1 or not _misplaced(char) else WORST
         return total
 

@@ -93,7 +93,7 @@ def dominant(token: str) -> str | None:
             continue
         kind = script(letter)
         every[kind] = every.get(kind, 0) + 1
-        double = letter in CYRILLIC or letter in GREEK if kind != "latin" else letter in _LATIN_DOUBLES
+        double = letter in _LATIN_DOUBLES if kind == "latin" else letter not in _WEAK and (letter in CYRILLIC or letter in GREEK)
         if not double:
             sure[kind] = sure.get(kind, 0) + 1
     if "other" in every or len(every) < 2:
@@ -102,7 +102,7 @@ def dominant(token: str) -> str | None:
     return max(scores, key=lambda k: (scores[k], every[k], k == "latin"))
 
 
-_LATIN_DOUBLES = set(CYRILLIC.values()) | set(GREEK.values())
+_LATIN_DOUBLES = {latin for letter, latin in (CYRILLIC | GREEK).items() if letter not in _WEAK}
 _TO_LATIN = str.maketrans(GREEK | CYRILLIC)
 _TO_CYRILLIC = str.maketrans({v: k for k, v in CYRILLIC.items() if k not in _WEAK} | {g: c for c, v in CYRILLIC.items() for g, w in GREEK.items() if v == w and c not in _WEAK})
 _TO_GREEK = str.maketrans({v: k for k, v in GREEK.items() if k not in _WEAK} | {c: g for c, v in CYRILLIC.items() for g, w in GREEK.items() if v == w and g not in _WEAK})
