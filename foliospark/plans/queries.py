@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS
+from ..errors import MESSAGES
 from ..functions import tables as T
 from ..functions import text as X
 from ..functions import validators as V
 from ..operators import audit, batch, compare, pii, routing, structure
+from ..sources.extract import extract, read_text
 from ..sources.tables import table
 from ..streaming.pipeline import status_windows
+from .pipeline import results_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -514,6 +518,65 @@ def pdf_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("result_id", routing.classify_pdf(F.col("texts")).alias("kind"))
 
 
+@query("""SELECT c_custkey, '寄件者：' || c_name || ' <c' || c_custkey || '@x.example>' || chr(10) || '收件者：desk@y.example' || chr(10) || '主旨：Order ' || c_custkey || chr(10)
+        || '日期：Mon, 01 Jan 2024 08:00:00 +0800' || chr(10) || chr(10) || 'Balance ' || c_mktsegment || chr(10) AS text FROM customer""")
+def read_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails written from the customers' rows, routed and read again."""
+    key = F.col("c_custkey").cast("string")
+    mail = F.concat(
+        F.lit("From: "), F.col("c_name"), F.lit(" <c"), key, F.lit("@x.example>\nTo: desk@y.example\nSubject: Order "), key,
+        F.lit("\nDate: Mon, 1 Jan 2024 08:00:00 +0800\nMIME-Version: 1.0\n\nBalance "), F.col("c_mktsegment"), F.lit("\n"),
+    )
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("/in/"), key, F.lit(".txt")).alias("file"), F.encode(mail, "UTF-8").alias("content"))
+    read = extract(files.withColumn("doc_type", routing.detect_type(F.col("content"), F.col("file"))), DEFAULTS).filter("error_code is null and raw.type = 'email'")
+    return read.select(F.regexp_extract("file", "([0-9]+)", 1).cast("bigint").alias("c_custkey"), F.col("raw.text").alias("text"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN text = '' THEN 'failed' ELSE 'success' END AS status, CASE WHEN text = '' THEN NULL ELSE 'text' END AS doc_type,
+        CASE WHEN text = '' THEN NULL ELSE md5({clean_sql("ltrim(text, chr(65279))")}) END AS structured, CASE WHEN text = '' THEN '檔案是空的（0 KB）。' ELSE '' END AS error FROM documents WHERE text IS NOT NULL""")
+def process_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: checked, routed, decoded, structured and protected."""
+    empty = F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    content = F.encode("text", "UTF-8")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = docs.select(
+        F.concat(F.lit("/in/"), name).alias("file"), name.alias("file_name"), F.col("doc_id").alias("ord"), F.octet_length("text").cast("bigint").alias("length"), content.alias("content"),
+        F.when(F.col("text") == "", "empty").otherwise(empty).alias("error_code"), F.when(F.col("text") == "", MESSAGES["empty"]).otherwise(empty).alias("error"),
+    )
+    rows = results_of(files, readers={"text": read_text})
+    return rows.select(F.col("ord").alias("doc_id"), "status", "doc_type", F.md5("structured_text").alias("structured"), "error")
+
+
+@query()
+def image_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawn page for each nation, tilted by its key, prepared for recognition; tests check each step."""
+    import pandas as pd
+
+    def run(batches):
+        import numpy as np
+
+        from ..operators import images
+
+        for rows in batches:
+            for key in rows["n_nationkey"]:
+                page = np.full((80, 120), 245, np.uint8)
+                page[16:64:8, 12:108] = 15
+                tilted = images.rotate(page, (key % 9) - 4)
+                ready = images.prepare(tilted)
+                yield pd.DataFrame({"n_nationkey": [key], "skew": [round(images.skew_angle(tilted), 1)], "left": [round(images.skew_angle(ready), 1)], "black": [int((ready == 0).sum())]})
+
+    return table(spark, sf_dir, "nation").select("n_nationkey").mapInPandas(run, "n_nationkey int, skew double, left double, black bigint")
+
+
+@query()
+def field_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled fields of each result's text against those of its displayed form: how many still agree."""
+    rows = once(spark, sf_dir, "structured_text", "display_text").filter("structured_text is not null")
+    compared = compare.field_mode(rows, "structured_text", "display_text", list(_LABELS))
+    return compare.match_share(compared, "field")
+
+
 # ---- batches --------------------------------------------------------------------------------------
 
 
