@@ -51,6 +51,12 @@ def once(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "doc_results").select("result_id", *columns).dropDuplicates(["result_id"])
 
 
+def results(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Results as delivered. What is a function of a row is computed first and counted once after, so that
+    no text is shuffled to find redelivered rows."""
+    return table(spark, sf_dir, "doc_results").select("result_id", *columns)
+
+
 RESULTS = "(SELECT * FROM doc_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY loaded_at) = 1)"
 
 # ---- structuring ----------------------------------------------------------------------------------
@@ -123,7 +129,8 @@ _FIELDS = " UNION ALL ".join(
 @query(f"WITH r AS {RESULTS} {_FIELDS}")
 def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = X.extract_fields(F.col("structured_text"), list(_LABELS))
-    return once(spark, sf_dir, "structured_text").select("result_id", F.explode(fields).alias("label", "value"))
+    found = results(spark, sf_dir, "structured_text").select("result_id", F.explode(fields).alias("label", "value"))
+    return found.dropDuplicates(["result_id", "label"])
 
 
 # ---- validators -----------------------------------------------------------------------------------
@@ -213,8 +220,9 @@ def bare(entity: str) -> pii.PiiRule:
 
 def _counts(spark: SparkSession, sf_dir: str, rule: pii.PiiRule) -> DataFrame:
     """Findings of one rule in each result, as their number and the hash of their texts."""
-    found = once(spark, sf_dir, "structured_text").select("result_id", pii.rule_matches(F.coalesce("structured_text", F.lit("")), rule, 0).alias("f"))
-    return found.select("result_id", F.size("f").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("f", lambda f: f["text"]), "|")).alias("found"))
+    found = results(spark, sf_dir, "structured_text").select("result_id", pii.rule_matches(F.coalesce("structured_text", F.lit("")), rule, 0).alias("f"))
+    counted = found.select("result_id", F.size("f").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("f", lambda f: f["text"]), "|")).alias("found"))
+    return counted.dropDuplicates(["result_id"])
 
 
 def _counts_sql(found: str) -> str:
@@ -316,8 +324,8 @@ def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _masked(spark: SparkSession, sf_dir: str, operator: str) -> DataFrame:
-    rows = pii.with_findings(once(spark, sf_dir, "structured_text"), "structured_text", (RULES["EMAIL"],))
-    return rows.select("result_id", F.md5(pii.mask(F.col("structured_text"), F.col("findings"), operator)).alias("masked"))
+    rows = pii.with_findings(results(spark, sf_dir, "structured_text"), "structured_text", (RULES["EMAIL"],))
+    return rows.select("result_id", F.md5(pii.mask(F.col("structured_text"), F.col("findings"), operator)).alias("masked")).dropDuplicates(["result_id"])
 
 
 @query(f"SELECT result_id, md5(regexp_replace(structured_text, '{EMAIL_RX}', '《電子郵件》', 'g')) AS masked FROM {RESULTS}")
@@ -353,9 +361,10 @@ _TEXTS = f"(SELECT doc_type, structured_text AS text FROM {RESULTS} WHERE struct
     SELECT doc_type, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (e + i > 0) AS BIGINT) AS affected, CAST(sum(e + i) AS BIGINT) AS findings, CAST(count(*) FILTER (e > 0 AND i > 0) AS BIGINT) AS both_types
     FROM m GROUP BY 1""")
 def pii_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = once(spark, sf_dir, "doc_type", "structured_text").filter("structured_text is not null")
+    rows = results(spark, sf_dir, "doc_type", "structured_text").filter("structured_text is not null")
     report = pii.analyze_and_mask(rows, "structured_text", "replace", tuple(RULES[e] for e in _REPORT_RULES))
-    return report.select("doc_type", "pii_report.pii_count", "pii_report.pii_types").groupBy("doc_type").agg(
+    counted = report.select("result_id", "doc_type", "pii_report.pii_count", "pii_report.pii_types").dropDuplicates(["result_id"])
+    return counted.groupBy("doc_type").agg(
         F.count("*").alias("documents"), F.count_if(F.col("pii_count") > 0).alias("affected"),
         F.sum("pii_count").alias("findings"), F.count_if(F.size("pii_types") == 2).alias("both_types"),
     )
@@ -365,8 +374,8 @@ def pii_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pii_report_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fourteen rules over all results; SQL has no lookbehind, so tests check it against a plain version."""
     rules = pii.BUILTIN_RULES + pii.rules_from_yaml(pii.SHIPPED_YAML)
-    found = pii.analyze_and_mask(once(spark, sf_dir, "structured_text"), "structured_text", "replace", rules)
-    return found.select("result_id", "pii_report.pii_count", "pii_report.pii_types", F.md5("pii_report.masked_text").alias("masked"))
+    found = pii.analyze_and_mask(results(spark, sf_dir, "structured_text"), "structured_text", "replace", rules)
+    return found.select("result_id", "pii_report.pii_count", "pii_report.pii_types", F.md5("pii_report.masked_text").alias("masked")).dropDuplicates(["result_id"])
 
 
 @query("""WITH f AS (SELECT * FROM pii_findings QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY loaded_at) = 1)
@@ -380,8 +389,9 @@ def findings_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT doc_type, unnest({_ID_FOUND}), 'TW_ID_NUMBER' FROM {_TEXTS})
     SELECT doc_type, entity, CAST(count(*) AS BIGINT) AS findings, CAST(count(DISTINCT t) AS BIGINT) AS different FROM m GROUP BY 1, 2""")
 def pii_types_by_doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pii.with_findings(once(spark, sf_dir, "doc_type", "structured_text"), "structured_text", tuple(RULES[e] for e in _REPORT_RULES))
-    found = rows.select("doc_type", F.explode("findings").alias("f")).select("doc_type", "f.entity", "f.text")
+    rows = pii.with_findings(results(spark, sf_dir, "doc_type", "structured_text"), "structured_text", tuple(RULES[e] for e in _REPORT_RULES))
+    once_each = rows.select("result_id", "doc_type", "findings").dropDuplicates(["result_id"])
+    found = once_each.select("doc_type", F.explode("findings").alias("f")).select("doc_type", "f.entity", "f.text")
     return found.groupBy("doc_type", "entity").agg(F.count("*").alias("findings"), F.countDistinct("text").alias("different"))
 
 
@@ -420,9 +430,10 @@ def similarity_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def text_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each result's text against its displayed form; the matcher of the standard library has no SQL."""
-    rows = once(spark, sf_dir, "structured_text", "display_text").filter("structured_text is not null and display_text is not null")
+    rows = results(spark, sf_dir, "structured_text", "display_text").filter("structured_text is not null and display_text is not null")
     diff = rows.select("result_id", compare.diff_text(F.col("structured_text"), F.col("display_text")).alias("d"))
-    return diff.select("result_id", "d.similarity_ratio", "d.added", "d.removed", F.size(compare.shown_lines(F.col("d"))).alias("shown"))
+    counted = diff.select("result_id", "d.similarity_ratio", "d.added", "d.removed", F.size(compare.shown_lines(F.col("d"))).alias("shown"))
+    return counted.dropDuplicates(["result_id"])
 
 
 def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -572,8 +583,8 @@ def image_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def field_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled fields of each result's text against those of its displayed form: how many still agree."""
-    rows = once(spark, sf_dir, "structured_text", "display_text").filter("structured_text is not null")
-    compared = compare.field_mode(rows, "structured_text", "display_text", list(_LABELS))
+    rows = results(spark, sf_dir, "structured_text", "display_text").filter("structured_text is not null")
+    compared = compare.field_mode(rows, "structured_text", "display_text", list(_LABELS)).dropDuplicates(["result_id", "field"])
     return compare.match_share(compared, "field")
 
 
@@ -639,8 +650,8 @@ def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT 'pii_scan' AS event, file_name AS file, CAST(count(*) AS BIGINT) AS n, CAST(sum(pii_report.pii_count) AS BIGINT) AS total FROM {RESULTS} WHERE status = 'success' GROUP BY 2
     UNION ALL SELECT 'process', file_name, CAST(count(*) AS BIGINT), CAST(sum(length(structured_text)) AS BIGINT) FROM {RESULTS} WHERE status = 'success' GROUP BY 2""")
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = once(spark, sf_dir, "ord", "status", "file_name", "doc_type", "structured_text", "pii_report")
-    made = audit.scan_events(rows, "replace").unionByName(audit.process_events(rows, True), allowMissingColumns=True)
+    rows = results(spark, sf_dir, "ord", "status", "file_name", "doc_type", "structured_text", "pii_report").withColumn("ord", F.col("result_id"))
+    made = audit.scan_events(rows, "replace").unionByName(audit.process_events(rows, True), allowMissingColumns=True).dropDuplicates(["ord", "event"])
     amount = F.when(F.col("event") == "pii_scan", F.col("pii_count")).otherwise(F.col("chars"))
     return made.groupBy("event", "file").agg(F.count("*").alias("n"), F.sum(amount).alias("total"))
 
