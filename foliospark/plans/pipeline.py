@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from ..errors import MESSAGES, DocumentError
 from ..operators.pii import PiiRule, all_rules, analyze_and_mask
 from ..operators.routing import detect_type
 from ..operators.structure import structure
 from ..session import ship_package
-from ..sources.extract import extract, pdf_kind
+from ..sources.extract import extract
 from ..sources.manifest import manifest, with_content
 
 #: Columns of a result row, in order.
@@ -22,36 +20,12 @@ RESULT = (
     "file", "file_name", "ord", "doc_type", "structured_text", "display_text", "pii_report", "pages", "used_ocr", "status", "error", "error_detail", "duration_sec", "retries",
 )
 OCR_TYPES = ("pdf_scanned", "pdf_mixed", "image")
-ROUTE_ERRORS = ("empty", "corrupted", "password")
 
 
-def route(files: DataFrame, settings: dict, strict: bool = False) -> DataFrame:
-    """Adds doc_type and, where routing already fails, error_code and error."""
+def route(files: DataFrame, strict: bool = False) -> DataFrame:
+    """Adds doc_type from the content of files without an error; no content is a corrupted file."""
     kind = F.when(F.col("content").isNull(), F.lit("corrupted")).otherwise(detect_type(F.col("content"), F.col("file"), strict))
-    kinds = files.withColumn("doc_type", F.when(F.col("error_code").isNull(), kind))
-
-    def looked_into(batches):
-        for batch in batches:
-            found = []
-            for path, kind, raw in zip(batch["file"], batch["doc_type"], batch["content"]):
-                if kind == "pdf_digital":
-                    try:
-                        kind = pdf_kind(bytes(raw), path, settings)
-                    except DocumentError as fault:
-                        kind = fault.code
-                    except Exception:
-                        kind = "corrupted"
-                found.append(kind)
-            yield pd.DataFrame({"file": batch["file"], "pdf_type": found})
-
-    # only PDFs are handed to Python once more
-    pdfs = kinds.filter("doc_type = 'pdf_digital'").select("file", "doc_type", "content").mapInPandas(looked_into, "file string, pdf_type string")
-    routed = kinds.join(pdfs, "file", "left").withColumn("doc_type", F.coalesce("pdf_type", "doc_type")).drop("pdf_type")
-    failed = F.col("doc_type").isin(*ROUTE_ERRORS)
-    messages = F.create_map(*[F.lit(x) for code in ROUTE_ERRORS for x in (code, MESSAGES[code])])
-    routed = routed.withColumn("error", F.when(failed, F.try_element_at(messages, F.col("doc_type"))).otherwise(F.col("error")))
-    routed = routed.withColumn("error_code", F.when(failed, F.col("doc_type")).otherwise(F.col("error_code")))
-    return routed.withColumn("doc_type", F.when(failed, F.lit(None)).otherwise(F.col("doc_type")))
+    return files.withColumn("doc_type", F.when(F.col("error_code").isNull(), kind))
 
 
 def protect(results: DataFrame, mask: bool = True, operator: str = "replace", rules: tuple[PiiRule, ...] | None = None) -> DataFrame:
@@ -66,20 +40,16 @@ def results_of(files: DataFrame, settings: dict | None = None, mask: bool | None
     settings = settings or DEFAULTS
     mask = settings["pii"]["default_mask"] if mask is None else mask
     operator = operator or settings["pii"]["operator"]
-    routed = route(files, settings)
-    read = extract(routed.filter("error_code is null"), settings, readers)
-    read = read.withColumnsRenamed({"error_code": "read_code", "error": "read_error"})
-    joined = routed.drop("content").join(read, "file", "left")
-    code = F.coalesce("error_code", "read_code")
+    read = extract(route(files), settings, readers)
+    code = F.col("error_code")
     status = F.when(code.isNull(), "success").when(code == "out_of_memory", "skipped").otherwise("failed")
     pages = F.col("raw.pages")
-    rows = joined.withColumn("structured_text", F.when(code.isNull(), structure(F.col("raw"))))
-    rows = rows.select(
-        "file", "file_name", "ord", "doc_type", "structured_text", status.alias("status"),
-        F.coalesce("error", "read_error", F.lit("")).alias("error"), F.coalesce("error_detail", F.lit("")).alias("error_detail"),
+    rows = read.select(
+        "file", "file_name", "ord", "doc_type", F.when(code.isNull(), structure(F.col("raw"))).alias("structured_text"), status.alias("status"),
+        F.coalesce("error", F.lit("")).alias("error"), F.coalesce("error_detail", F.lit("")).alias("error_detail"),
         F.coalesce("duration_sec", F.lit(0.0)).alias("duration_sec"), F.coalesce("retries", F.lit(0)).alias("retries"),
         F.when(F.coalesce(F.size(pages), F.lit(0)) > 0, F.size(pages)).otherwise(1).alias("pages"),
-        (F.col("doc_type").isin(*OCR_TYPES) | F.coalesce(F.exists(pages, lambda p: F.coalesce(p["ocr"], F.lit(False))), F.lit(False))).alias("used_ocr"),
+        (F.coalesce(F.col("doc_type").isin(*OCR_TYPES), F.lit(False)) | F.coalesce(F.exists(pages, lambda p: F.coalesce(p["ocr"], F.lit(False))), F.lit(False))).alias("used_ocr"),
     )
     return protect(rows, mask, operator, rules).select(*RESULT)
 

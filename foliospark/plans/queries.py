@@ -16,7 +16,7 @@ from ..operators import audit, batch, compare, pii, routing, structure
 from ..sources.extract import extract, read_text
 from ..sources.tables import table
 from ..streaming.pipeline import status_windows
-from .pipeline import results_of
+from .pipeline import results_of, route
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -538,9 +538,12 @@ def read_email(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("From: "), F.col("c_name"), F.lit(" <c"), key, F.lit("@x.example>\nTo: desk@y.example\nSubject: Order "), key,
         F.lit("\nDate: Mon, 1 Jan 2024 08:00:00 +0800\nMIME-Version: 1.0\n\nBalance "), F.col("c_mktsegment"), F.lit("\n"),
     )
-    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("/in/"), key, F.lit(".txt")).alias("file"), F.encode(mail, "UTF-8").alias("content"))
-    read = extract(files.withColumn("doc_type", routing.detect_type(F.col("content"), F.col("file"))), DEFAULTS).filter("error_code is null and raw.type = 'email'")
-    return read.select(F.regexp_extract("file", "([0-9]+)", 1).cast("bigint").alias("c_custkey"), F.col("raw.text").alias("text"))
+    none = F.lit(None).cast("string")
+    files = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("/in/"), key, F.lit(".txt")).alias("file"), key.alias("file_name"), F.col("c_custkey").alias("ord"), F.encode(mail, "UTF-8").alias("content"), none.alias("error_code"), none.alias("error")
+    )
+    read = extract(route(files), DEFAULTS).filter("error_code is null and raw.type = 'email'")
+    return read.select(F.col("ord").alias("c_custkey"), F.col("raw.text").alias("text"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN text = '' THEN 'failed' ELSE 'success' END AS status, CASE WHEN text = '' THEN NULL ELSE 'text' END AS doc_type,

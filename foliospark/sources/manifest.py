@@ -7,9 +7,11 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import MESSAGES
 from ..operators.routing import SUFFIXES, size_error
 
 SCHEMA = "ord bigint, file string, file_name string, length bigint"
@@ -28,27 +30,30 @@ def manifest(spark: SparkSession, path: str | Path) -> DataFrame:
     return spark.createDataFrame(list(list_files(path)), SCHEMA)
 
 
+CHECKED = SCHEMA + ", error_code string, error string, content binary"
+
+
 def with_content(files: DataFrame, max_mb: float = 200) -> DataFrame:
     """Adds error_code, error and content; only files that pass the checks on their size are read.
 
-    The listing decides what is read, and each task reads its files itself: the binary source would
-    leave out hidden names. The join is on the path.
+    One narrow pass: the listing decides what is read, and each task reads its files, one at a time.
+    (The binary source would leave out hidden names and empty files.)
     """
-    checked = files.withColumn("problem", size_error(F.col("length"), max_mb))
-    wanted = checked.select("*", F.col("problem.code").alias("error_code"), F.col("problem.message").alias("error")).drop("problem")
-    read = wanted.filter("error_code is null").select("file").repartition(F.col("file"))
-    return wanted.join(read.mapInPandas(_read_files, "file string, content binary"), "file", "left")
-
+    problem = size_error(F.col("length"), max_mb)
+    checked = files.select("ord", "file", "file_name", "length", problem["code"].alias("error_code"), problem["message"].alias("error"))
+    return checked.mapInPandas(_read_files, CHECKED)
 
-def _read_files(batches):
-    import pandas as pd
 
+def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path in batch["file"]:
-            try:
-                yield pd.DataFrame({"file": [path], "content": [Path(path).read_bytes()]})
-            except OSError:
-                yield pd.DataFrame({"file": [path], "content": [None]})
+        for row in batch.to_dict("records"):
+            content = None
+            if row["error_code"] is None:
+                try:
+                    content = Path(row["file"]).read_bytes()
+                except OSError as fault:
+                    row |= {"error_code": "corrupted", "error": f"{MESSAGES['corrupted']}（{fault.strerror}）"}
+            yield pd.DataFrame([row | {"content": content}])
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
