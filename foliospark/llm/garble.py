@@ -202,20 +202,25 @@ class GarbleSearch:
             if gain > 0 and gain >= sum(part[-1] for part in parts):
                 return [(lead, lead + len(body), fixed, path)]
         else:
-            parts = self._pieces(line, hint)
+            return self._lossy(line, hint)
         found = [part[:4] for part in parts]
-        for m in re.finditer("[^ ]*[\ufffd\x80-\x9f][^ ]*", line):  # lost for good, but garbled
-            free, stop = m.start(), m.end()
-            for a, b, *_ in found[: len(parts)]:
-                if a < stop and free < b:
-                    free = max(free, b) if a <= free else free
-                    stop = min(stop, a) if a > free else stop
-            if free < stop:
-                found.append((free, stop, line[free:stop], ()))
+        for m in re.finditer("[^ ]*[\x80-\x9f][^ ]*", line):  # what no path restores, but is garbled
+            if not any(a < m.end() and m.start() < b for a, b, *_ in found):
+                found.append((*m.span(), m.group(), ()))
         return sorted(found)
 
+    def _lossy(self, line: str, hint: tuple[str, ...]) -> list[tuple[int, int, str, tuple[str, ...]]]:
+        """A line that lost characters is one passage from its first odd character to its last; what
+        stands between the losses is restored where it is long enough to prove anything."""
+        marks = [m.start() for m in self.odd.finditer(line)]
+        start, end = marks[0], marks[-1] + 1
+        pieces = [p for p in self._pieces(line, hint) if start <= p[0] and p[1] <= end]
+        path = max(pieces, key=lambda p: p[-1])[3] if pieces else ()
+        inner = [(a - start, b - start, fixed, path) for a, b, fixed, *_ in pieces]
+        return [(start, end, splice(line[start:end], inner), path)]
+
     def _pieces(self, line: str, hint: tuple[str, ...]) -> list[tuple[int, int, str, tuple[str, ...], float]]:
-        """What stands between replacement characters, where it is long enough to prove anything."""
+        """What stands between replacement characters and is cheaper when decoded anew."""
         found = []
         for m in re.finditer("[^\ufffd]{2,}", line):
             if self.odd.search(m.group()):
@@ -281,7 +286,7 @@ def repair_encoding(df: DataFrame, id_col: str, column: str, costs: dict[str, fl
     """id, affected, restored, lost, passages: one row per input row with an id.
 
     ``restored`` is the text with every restorable passage put right (the text itself where nothing
-    was wrong, null for a null text); ``lost`` counts passages that can't be restored; ``passages``
+    was wrong, null for a null text); ``lost`` counts passages that can't be restored at all; ``passages``
     holds start, end, text and path of each in code points of the input.
     """
     shared = broadcast(df, character_costs(df, column) if costs is None else costs)  # at most one entry per code point
