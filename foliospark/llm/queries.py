@@ -119,4 +119,23 @@ QUERIES = {
     "p8_composition": p8_composition,
 }
 
-ORACLES: dict[str, str] = {}
+# ---- SQL for what SQL can express on whole tables --------------------------------------------------
+
+_BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_SQUEEZED = f"""r AS (SELECT result_id, any_value(structured_text) AS a, any_value(display_text) AS b FROM doc_results WHERE result_id IS NOT NULL GROUP BY 1),
+    f AS (SELECT result_id, 0 AS field, regexp_replace(a, '{_BLANK}', '', 'g') AS t FROM r UNION ALL SELECT result_id, 1, regexp_replace(b, '{_BLANK}', '', 'g') FROM r),
+    k AS (SELECT result_id, field, t, min(result_id * 2 + field) OVER (PARTITION BY t) AS class_id FROM f WHERE length(t) >= 5),
+    x AS (SELECT DISTINCT class_id, t FROM k),
+    g AS (SELECT DISTINCT class_id, substr(t, CAST(i AS INTEGER), 5) AS gram FROM (SELECT class_id, t, unnest(range(1, length(t) - 3)) AS i FROM x)),
+    n AS (SELECT class_id, count(*) AS n FROM g GROUP BY 1),
+    c AS (SELECT p.class_id AS a, q.class_id AS b, count(*) AS c FROM g p JOIN g q ON p.gram = q.gram AND p.class_id < q.class_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM c JOIN n na ON na.class_id = a JOIN n nb ON nb.class_id = b WHERE c * 10 >= 7 * (na.n + nb.n - c))"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH {_SQUEEZED}, same AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links UNION ALL SELECT class_id, class_id FROM x)
+        SELECT CASE p.field WHEN 0 THEN 'structured_text' ELSE 'display_text' END AS field_name, p.result_id AS result_a, q.result_id AS result_b
+        FROM same JOIN k p ON p.class_id = same.a JOIN k q ON q.class_id = same.b AND q.field = p.field AND p.result_id < q.result_id""",
+    "p1_classes": f"""WITH {_SQUEEZED}, d AS (SELECT id, count(*) AS links FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY 1)
+        SELECT CASE field WHEN 0 THEN 'structured_text' ELSE 'display_text' END AS field, result_id AS row_id, k.class_id, count(*) OVER (PARTITION BY k.class_id, field) AS copies,
+            CAST(coalesce(d.links, 0) AS BIGINT) AS links FROM k LEFT JOIN d ON d.id = k.class_id""",
+}
