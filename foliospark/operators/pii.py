@@ -126,28 +126,30 @@ def rule_matches(text: Column, rule: PiiRule, rule_no: int) -> Column:
     """Findings of one rule: leftmost matches that pass its validator and context, in order."""
     pattern = java_pattern(rule.regex)
     none = F.array().cast(f"array<{FINDING}>")
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.transform(F.split(text, pattern, -1), F.length).alias("gap"))
 
     def located(found: Column) -> Column:
-        # offset of match i: what stood before it, gaps and matches
-        def at(m: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, n: a + n)
-            inside = F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, s: a + F.length(s))
-            start = before + inside
-            return F.struct(
-                F.lit(rule.entity).alias("entity"), F.lit(rule.label).alias("label"), start.cast("int").alias("start"),
-                (start + F.length(m)).cast("int").alias("end"), m.alias("text"), F.lit(float(rule.score)).alias("score"), F.lit(rule_no).alias("rule_no"),
+        """Matches with their offsets: a fold over the gaps before them."""
+        pairs = F.arrays_zip(found["m"].alias("m"), F.slice(found["gap"], 1, F.size(found["m"])).alias("gap"))
+
+        def step(acc: Column, p: Column) -> Column:
+            start = acc["at"] + p["gap"]
+            end = start + F.length(p["m"])
+            finding = F.struct(
+                F.lit(rule.entity).alias("entity"), F.lit(rule.label).alias("label"), start.cast("int").alias("start"), end.cast("int").alias("end"),
+                p["m"].alias("text"), F.lit(float(rule.score)).alias("score"), F.lit(rule_no).alias("rule_no"),
             )
+            return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(finding)).cast(f"array<{FINDING}>").alias("out"))
 
-        return F.transform(found, at)
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
-    findings = located(matches)
+    # the one-element array binds matches and gaps to a variable, so that the pattern runs once over a text
+    findings = F.get(F.transform(F.array(both), located), F.lit(0))
     if rule.validator:
         findings = F.filter(findings, lambda f: VALIDATORS[rule.validator](f["text"]))
     if rule.context_required and rule.context_words:
         findings = F.filter(findings, lambda f: _has_context(text, f["start"], f["end"], rule))
-    return F.when(_quick_guard(text, rule) & (F.size(matches) > 0), findings).otherwise(none)
+    return F.when(_quick_guard(text, rule), findings).otherwise(none)
 
 
 def resolve_overlaps(findings: Column) -> Column:
