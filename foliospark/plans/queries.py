@@ -14,7 +14,7 @@ from ..functions import text as X
 from ..functions import validators as V
 from ..operators import audit, batch, compare, pii, routing, structure
 from ..sources.extract import extract, read_text
-from ..sources.tables import table
+from ..sources.tables import table, text_rows
 from ..streaming.pipeline import status_windows
 from .pipeline import results_of, route
 
@@ -54,7 +54,7 @@ def once(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def results(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Results as delivered. What is a function of a row is computed first and counted once after, so that
     no text is shuffled to find redelivered rows."""
-    return table(spark, sf_dir, "doc_results").select("result_id", *columns)
+    return text_rows(spark, sf_dir, "doc_results", "result_id", *columns)
 
 
 RESULTS = "(SELECT * FROM doc_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY loaded_at) = 1)"
