@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import table
+from ..sources.tables import table, text_rows
 from .garble import garbled_ids, repair_encoding
 from .lookalike import consistent_spelling, misspelled_ids
 from .mixture import mixture, shares_reached
@@ -17,75 +17,80 @@ from .tokenizer import encode_ids
 TEXT_FIELDS = ["structured_text", "display_text"]
 
 
+def _results(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return text_rows(spark, sf_dir, "doc_results", "result_id", *columns)
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of results with nearly the same structured or display text."""
-    return near_duplicate_pairs(table(spark, sf_dir, "doc_results"), "result_id", TEXT_FIELDS)
+    return near_duplicate_pairs(_results(spark, sf_dir, *TEXT_FIELDS), "result_id", TEXT_FIELDS)
 
 
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of copies and number of links of every result field."""
-    return near_duplicate_classes(table(spark, sf_dir, "doc_results"), "result_id", TEXT_FIELDS)
+    return near_duplicate_classes(_results(spark, sf_dir, *TEXT_FIELDS), "result_id", TEXT_FIELDS)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results spelled with characters other than the ordinary ones."""
-    return misspelled_ids(table(spark, sf_dir, "doc_results"), "result_id", "structured_text")
+    return misspelled_ids(_results(spark, sf_dir, "structured_text"), "result_id", "structured_text")
 
 
 def p2_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent spelling of the results that needed one."""
-    return consistent_spelling(table(spark, sf_dir, "doc_results"), "result_id", "structured_text")
+    return consistent_spelling(_results(spark, sf_dir, "structured_text"), "result_id", "structured_text")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results with a passage decoded with the wrong encoding."""
-    return garbled_ids(table(spark, sf_dir, "doc_results"), "result_id", "structured_text")
+    return garbled_ids(_results(spark, sf_dir, "structured_text"), "result_id", "structured_text")
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The affected results with their text restored where possible."""
-    found = repair_encoding(table(spark, sf_dir, "doc_results"), "result_id", "structured_text")
+    found = repair_encoding(_results(spark, sf_dir, "structured_text"), "result_id", "structured_text")
     return found.filter("affected").select("result_id", "restored", "lost").dropDuplicates(["result_id"])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in both texts of the results and in the detector's snippets."""
-    return personal_data(table(spark, sf_dir, "doc_results"), table(spark, sf_dir, "pii_findings"))
+    return personal_data(_results(spark, sf_dir, *TEXT_FIELDS), text_rows(spark, sf_dir, "pii_findings", "finding_id", "entity", "text"))
 
 
 def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The structured texts with typed placeholders."""
-    results = table(spark, sf_dir, "doc_results")
+    results = _results(spark, sf_dir, "structured_text")
     return masked(results, "result_id", "structured_text", train_on(results, "result_id", "structured_text")).dropDuplicates(["result_id"])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The noise of the page in each scanned result."""
-    return scanned_noise(table(spark, sf_dir, "doc_results"), "result_id", "structured_text", "doc_type")
+    return scanned_noise(_results(spark, sf_dir, "structured_text", "doc_type"), "result_id", "structured_text", "doc_type")
 
 
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scanned results as continuous paragraphs."""
-    return scanned_text(table(spark, sf_dir, "doc_results"), "result_id", "structured_text", "doc_type").dropDuplicates(["result_id"])
+    return scanned_text(_results(spark, sf_dir, "structured_text", "doc_type"), "result_id", "structured_text", "doc_type").dropDuplicates(["result_id"])
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return encode_ids(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return encode_ids(text_rows(spark, sf_dir, "documents", "doc_id", "text"), "text", ["doc_id"])
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of the named sources in shuffled shards."""
-    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixture(text_rows(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that the sources of the mixture really reach."""
-    return shares_reached(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return shares_reached(text_rows(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))
 
 
 def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, samples, areas = (table(spark, sf_dir, t) for t in ("documents", "subject_samples", "subject_areas"))
+    documents = text_rows(spark, sf_dir, "documents", "doc_id", "text")
+    samples, areas = table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subject_areas")
     return document_subjects(documents, "doc_id", "text", samples, areas)
 
 
