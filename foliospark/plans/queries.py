@@ -486,10 +486,13 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(a.label AS BIGINT) AS a, CAST(b.label AS BIGINT) AS b, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 4) AS score
     FROM m a JOIN m b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2""")
 def embedding_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = compare.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding")
-    other = means.select(F.col("label").alias("b"), F.col("mean").alias("mean_b"))
-    pairs = means.join(other, F.col("label") < F.col("b"))  # one row a label on either side
-    return pairs.select(F.col("label").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), compare.cosine(F.col("mean"), F.col("mean_b")).alias("score"))
+    vectors = table(spark, sf_dir, "embeddings")
+    means = compare.mean_vectors(vectors, "label", "embedding")
+    labels = vectors.agg(F.array_sort(F.collect_set("label")).alias("all"))  # labels are few: the classes of the vectors
+    pairs = labels.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"))
+    left, right = means.withColumnsRenamed({"label": "a", "mean": "mean_a"}), means.withColumnsRenamed({"label": "b", "mean": "mean_b"})
+    joined = pairs.join(left, "a").join(right, "b")
+    return joined.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), compare.cosine(F.col("mean_a"), F.col("mean_b")).alias("score"))
 
 
 # ---- routing --------------------------------------------------------------------------------------
