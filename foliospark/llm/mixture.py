@@ -197,9 +197,9 @@ def shares_reached(documents: DataFrame, targets: DataFrame, block: int = BLOCK_
         "source string, target_share double, max_repeats int, available_tokens bigint, planned_tokens bigint",
     )
     joined = table.join(F.broadcast(per_source), "source", "left").na.fill(0, ["reached_tokens", "documents_used", "most_copies"])
-    whole = joined.agg(F.sum("reached_tokens").alias("all_tokens"))
+    joined = joined.withColumn("all_tokens", F.sum("reached_tokens").over(Window.partitionBy(F.lit(1))))  # a row a source
     share = F.when(F.col("all_tokens") > 0, F.col("reached_tokens") / F.col("all_tokens")).otherwise(F.lit(0.0))
-    return joined.join(F.broadcast(whole)).select(
+    return joined.select(
         "source", "target_share", "max_repeats", "available_tokens", "documents_used", "most_copies", "reached_tokens",
         share.alias("reached_share"), F.greatest(F.col("planned_tokens") - F.col("reached_tokens"), F.lit(0)).alias("short_tokens"),
         (F.col("reached_tokens") > 0).alias("reachable"),
