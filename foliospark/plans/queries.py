@@ -542,7 +542,7 @@ def read_email(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\nDate: Mon, 1 Jan 2024 08:00:00 +0800\nMIME-Version: 1.0\n\nBalance "), F.col("c_mktsegment"), F.lit("\n"),
     )
     none = F.lit(None).cast("string")
-    files = table(spark, sf_dir, "customer").select(
+    files = text_rows(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment").select(
         F.concat(F.lit("/in/"), key, F.lit(".txt")).alias("file"), key.alias("file_name"), F.col("c_custkey").alias("ord"), F.encode(mail, "UTF-8").alias("content"), none.alias("error_code"), none.alias("error")
     )
     read = extract(route(files), DEFAULTS).filter("error_code is null and raw.type = 'email'")
@@ -554,7 +554,7 @@ def read_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 def process_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files: checked, routed, decoded, structured and protected."""
     empty = F.lit(None).cast("string")
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    docs = text_rows(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null")
     content = F.encode("text", "UTF-8")
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
     files = docs.select(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import MESSAGES
 from ..operators.routing import SUFFIXES, size_error
+from .frames import in_frames
 
 SCHEMA = "ord bigint, file string, file_name string, length bigint"
 
@@ -36,7 +37,7 @@ CHECKED = SCHEMA + ", error_code string, error string, content binary"
 def with_content(files: DataFrame, max_mb: float = 200) -> DataFrame:
     """Adds error_code, error and content; only files that pass the checks on their size are read.
 
-    One narrow pass: the listing decides what is read, and each task reads its files, one at a time.
+    One narrow pass: the listing decides what is read, and each task reads its files.
     (The binary source would leave out hidden names and empty files.)
     """
     problem = size_error(F.col("length"), max_mb)
@@ -44,16 +45,19 @@ def with_content(files: DataFrame, max_mb: float = 200) -> DataFrame:
     return checked.mapInPandas(_read_files, CHECKED)
 
 
+def _read_one(row: dict) -> dict:
+    if row["error_code"] is not None:
+        return row | {"content": None}
+    try:
+        return row | {"content": Path(row["file"]).read_bytes()}
+    except OSError as fault:
+        return row | {"content": None, "error_code": "corrupted", "error": f"{MESSAGES['corrupted']}（{fault.strerror}）"}
+
+
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ("ord", "file", "file_name", "length", "error_code", "error", "content")
     for batch in batches:
-        for row in batch.to_dict("records"):
-            content = None
-            if row["error_code"] is None:
-                try:
-                    content = Path(row["file"]).read_bytes()
-                except OSError as fault:
-                    row |= {"error_code": "corrupted", "error": f"{MESSAGES['corrupted']}（{fault.strerror}）"}
-            yield pd.DataFrame([row | {"content": content}])
+        yield from in_frames(map(_read_one, batch.to_dict("records")), columns, lambda row: len(row["content"] or b""))
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
