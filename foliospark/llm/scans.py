@@ -8,9 +8,11 @@ character left out) yields the entries one edit away; a weighted edit distance,
 scanners confuse, keeps the likely ones, and their frequency and that of the word pairs around
 decide.
 
-The lexicon holds entries of at least a fixed share of all occurrences (``LEAST_SHARE``), so it never
-has more than 1/LEAST_SHARE of each sort, whatever the corpus; all texts are counted. What is not in it
-may have occurred as often as just did not suffice, and is judged as if it had.
+The lexicon holds every entry counted ``LEAST_COUNT`` times and stays a distributed table. The scanned
+texts say which words (between their neighbours) and ideographs (with two characters on either side)
+they ask about; each such question is answered once, by joins with the index and the counts. Only a bitmap
+of the questions answered with a repair is broadcast; it spares most texts the join of the answers, and
+what it lets through by chance finds no answer there.
 
 No noise: the headings ``## 第 N 頁``, greetings, mentions of pages inside sentences, plain line breaks.
 
@@ -22,25 +24,28 @@ from __future__ import annotations
 
 import difflib
 import re
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .arrow import broadcast, map_rows
 
 SCANNED = ("pdf_scanned", "pdf_mixed", "image")
-#: Share of its sort's occurrences an entry of the lexicon must have (words, word pairs, windows), and the least number.
-LEAST_SHARE, LEAST_COUNT = {"w": 5e-6, "p": 4e-6, "c": 1e-6}, 3
+#: How often an entry of the lexicon must have been counted.
+LEAST_COUNT = 3
 #: How much more frequent the repair must be than what was read, and the dearest edit.
 TIMES, DEAREST = 8, 0.72
-#: A word that the lexicon holds itself (a frequent misreading may) must be so much rarer, also between its neighbours.
-TIMES_KNOWN, TIMES_BETWEEN = 40, 8
+#: A word that is itself frequent (of this share of all words; a misreading may be) must be so much rarer, also between its neighbours.
+KNOWN_SHARE, TIMES_KNOWN, TIMES_BETWEEN = 5e-6, 40, 8
 #: Windows of three characters that must speak for another ideograph.
 LEAST_EVIDENCE = 5
+#: Bits of the bitmap of answered questions, and of each piece in which it is made.
+BITS, PIECE_BITS = 1 << 26, 1 << 16
 
 # What scanners take for one another; the first of each pair is what tends to be read.
 CONFUSED_IDEOGRAPHS = "己已 己巳 末未 曰日 入人 入八 問間 貟員 靣面 杳查 眼限 木本 科料 犬大 太大 犬太 尸戶 士土 干千 于千 干于 夭天 田由 田甲 母毋 侯候 毫亳 折拆 折析 冶治 今令 代伐 佳住 住往 刀力 九丸 王玉 王主 玉主 午牛 免兔 徒徙 微徵 待侍 持特 技枝 抹抺 栽裁 烏鳥 睛晴 撒撤 辨辯 賣買 遣遺 弊幣 壁璧 斤斥 子予 子孑 弋戈 戌戍 戊戌 汨汩 淮准 爪瓜 貝見 貝具 皿血 目自 白自 日目 早旱 旦且 名各 古吉 石右 困因 困囚 哀衰 署暑 棟楝 崇祟 密蜜 根很 億憶 培倍 失矢 夫天 夫失 元无 无天 內肉 勿物 毛手 手于 卯印 卬印 卜上 丁了 丈文 叉又 又叉 口囗 吏更 昔皆 宣宜 官宮 宮官 客容 帥師 師帥 慕幕 慕暮 昧味 未朱 來耒 比此 氷水 永水 沒役 泊洎 注往 深探 清請 請清 猶獨 獨濁 祖袓 祟崇 科枓 積債 績積 續績 縣懸 聞間 間聞 開問 閉閑 閑間 隊除 除徐 陪部 項頂 頂項 須預 預須 領頒 題頡 風鳳 魚漁 鬥門"
@@ -52,6 +57,8 @@ for _pair in CONFUSED_IDEOGRAPHS.split():
     _DOUBLES[_pair[1]].add(_pair[0])
 _DOUBTFUL = re.compile("[" + "".join(_DOUBLES) + "]")
 _WORD = re.compile("[A-Za-z0-9!]+(?:'[a-z]+)?")
+#: Characters of no width, which cut a word for the patterns only.
+_WIDTHLESS = ("\u200b", "\u200c", "\u200d", "\u2060", "\ufeff")
 _PLAIN_WORD = re.compile("[a-z]+")
 _EMAIL_LIKE = re.compile(r"\S*[@＠_/\\]\S*|\S+\.(?:example|test|com|org|net)\S*", re.I)
 _HEADING = re.compile("## 第 [0-9]+ 頁$")
@@ -172,73 +179,54 @@ def _deletes(word: str) -> Iterator[str]:
         yield word[:i] + word[i + 1 :]
 
 
-@dataclass
-class Lexicon:
-    """Frequencies of words, word pairs and ideograph windows, with the symmetric-delete index of the words."""
-
-    words: dict[str, int] = field(default_factory=dict)
-    pairs: dict[str, int] = field(default_factory=dict)
-    windows: dict[str, int] = field(default_factory=dict)
-    index: dict[str, list[str]] = field(default_factory=dict)
-    certain: int = 0
-    cut: dict[str, int] = field(default_factory=lambda: {"w": LEAST_COUNT, "p": LEAST_COUNT, "c": LEAST_COUNT})
-
-    def build(self) -> Lexicon:
-        index: dict[str, list[str]] = defaultdict(list)
-        for word in self.words:
-            if len(word) >= 3:
-                for form in set(_deletes(word)):
-                    index[form].append(word)
-        self.index = dict(index)
-        #: Words this frequent can be no misreading of any word of the lexicon.
-        self.certain = max(self.words.values(), default=0) // TIMES_KNOWN + 1
-        self.repairs: dict[tuple[str, str, str], str | None] = {}
-        return self
-
-    def candidates(self, read: str) -> set[str]:
-        """Words one edit from what was read, or from it with one confused pair put right."""
-        found: set[str] = set()
-        forms = {read}
-        for a, b in CONFUSED_LETTERS:
-            at = read.find(a)
-            while at >= 0:
-                forms.add(read[:at] + b + read[at + len(a) :])
-                at = read.find(a, at + 1)
-        for form in forms:
-            for less in _deletes(form):
-                found.update(self.index.get(less, ()))
-        return found
+def _forms(read: str) -> set[str]:
+    """What was read, and it with one confused pair put right, under every form with one character left out."""
+    forms = {read}
+    for a, b in CONFUSED_LETTERS:
+        at = read.find(a)
+        while at >= 0:
+            forms.add(read[:at] + b + read[at + len(a) :])
+            at = read.find(a, at + 1)
+    return {less for form in forms for less in _deletes(form)}
 
-    def between(self, before: str, word: str, after: str) -> int:
-        """How often the word stands next to either neighbour."""
-        return self.pairs.get(f"{before} {word}", 0) + self.pairs.get(f"{word} {after}", 0)
-
-    def repair(self, read: str, before: str, after: str) -> str | None:
-        """The word meant by a doubtful one, or None; the pairs with its neighbours break ties."""
-        if self.words.get(read, 0) >= self.certain:
-            return None
-        mark = (read, before, after)
-        if mark in self.repairs:
-            return self.repairs[mark]
-        if len(self.repairs) > 100_000:
-            self.repairs.clear()
-        own = self.words.get(read, 0)
-        best, best_score = None, 0.0
-        for word in self.candidates(read):
-            n = self.words[word]
-            if word == read or n < (TIMES_KNOWN * own if own else TIMES * (self.cut["w"] - 1)) or abs(len(word) - len(read)) > 2:
-                continue
-            cost = word_cost(read, word)
-            if cost > DEAREST or not cost:
-                continue
-            context = self.between(before, word, after)
-            if own and context < TIMES_BETWEEN * self.between(before, read, after) + LEAST_COUNT:
-                continue
-            score = min(6.0, n.bit_length() / 3) + min(4.0, context.bit_length()) - 6 * cost
-            if score > best_score:
-                best, best_score = word, score
-        self.repairs[mark] = best
-        return best
+
+class Asked:
+    """Notes the questions of texts: a word between its neighbours, an ideograph among its neighbours."""
+
+    def __init__(self) -> None:
+        self.terms: set[tuple[str, str]] = set()
+
+    def get(self, sort: str, term: str) -> str | None:
+        self.terms.add((sort, term))
+        return None
+
+
+class Probed(Asked):
+    """Notes the questions that may have an answer."""
+
+    def __init__(self, bitmap: bytes):
+        super().__init__()
+        self.bitmap = bitmap
+
+    def get(self, sort: str, term: str) -> str | None:
+        bit = _bit(sort, term)
+        if self.bitmap[bit >> 3] >> (bit & 7) & 1:
+            self.terms.add((sort, term))
+        return None
+
+
+class Answers:
+    """The answers to the questions of one text."""
+
+    def __init__(self, answers: list[tuple[str, str]]):
+        self.answers = dict(answers)
+
+    def get(self, sort: str, term: str) -> str | None:
+        return self.answers.get(sort + term)
+
+
+def _bit(sort: str, term: str) -> int:
+    return zlib.crc32((sort + term).encode()) & (BITS - 1)
 
 
 def _normal(line: str) -> str:
@@ -250,14 +238,23 @@ def _continuous(text: str) -> str:
     return re.sub("(?<=[一-鿿，、])\n(?=[一-鿿，、。])", "", text)
 
 
-def lexicon(df: DataFrame, column: str) -> Lexicon:
-    """Count all texts; keep what has at least ``LEAST_SHARE`` of its sort's occurrences."""
+def count(df: DataFrame, column: str, type_col: str) -> DataFrame:
+    """sort, term, n: words (w), word pairs (p) and windows (c) of all texts; questions about words (t) and ideographs (x) of the scanned ones."""
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        words: Counter = Counter()
-        pairs: Counter = Counter()
-        windows: Counter = Counter()
-        for (text,) in rows:
+        counters: dict[str, Counter] = {sort: Counter() for sort in "wpc"}
+        words, pairs, windows = counters.values()
+        asked = Asked()
+        scan = Scan(asked)
+
+        def flush() -> Iterator[tuple]:
+            for sort, counter in counters.items():
+                yield from ((sort, term, n) for term, n in counter.items())
+                counter.clear()
+            yield from ((sort, term, 1) for sort, term in asked.terms)
+            asked.terms.clear()
+
+        for text, kind in rows:
             if not text:
                 continue
             found = _PLAIN_WORD.findall(_EMAIL_LIKE.sub(" ", text).lower())
@@ -269,54 +266,135 @@ def lexicon(df: DataFrame, column: str) -> Lexicon:
                 for a in (i - 2, i - 1, i):
                     if a >= 0 and len(window := flat[a : a + 3]) == 3:
                         windows[f"{i - a}{window}"] += 1
-            if len(windows) + len(pairs) > 2_000_000:
-                for sort, counter in (("w", words), ("p", pairs), ("c", windows)):
-                    yield from ((sort, term, n) for term, n in counter.items())
-                    counter.clear()
-        for sort, counter in (("w", words), ("p", pairs), ("c", windows)):
-            yield from ((sort, term, n) for term, n in counter.items())
-
-    counted = map_rows(df.select(column), run, "sort string, term string, n bigint", flush=16384).groupBy("sort", "term").agg(F.sum("n").alias("n"))
-    from ..session import cut_lineage
-
-    counted = cut_lineage(counted.filter(F.col("n") >= 1))
-    totals = {r["sort"]: r["n"] for r in counted.groupBy("sort").agg(F.sum("n").alias("n")).collect()}
-    least = F.lit(LEAST_COUNT)
-    out = Lexicon()
-    for sort, n in totals.items():
-        out.cut[sort] = max(LEAST_COUNT, int(n * LEAST_SHARE[sort]))
-        least = F.when(F.col("sort") == sort, F.lit(out.cut[sort])).otherwise(least)
-    for r in counted.filter(F.col("n") >= least).collect():  # at most 1/LEAST_SHARE entries of each sort
-        {"w": out.words, "p": out.pairs, "c": out.windows}[r["sort"]][r["term"]] = r["n"]
-    return out
+            if kind in SCANNED:
+                scan.ask(text)
+            if len(windows) + len(pairs) + len(asked.terms) > 1_000_000:
+                yield from flush()
+        yield from flush()
+
+    counted = map_rows(df.select(column, type_col), run, "sort string, term string, n bigint", flush=16384).groupBy("sort", "term").agg(F.sum("n").alias("n"))
+    return cut_lineage(counted.filter(F.col("sort").isin("t", "x") | (F.col("n") >= LEAST_COUNT)))
+
+
+def _entries(counted: DataFrame, sort: str) -> DataFrame:
+    return counted.filter(F.col("sort") == sort)
+
+
+def _bit_length(column) -> Column:
+    return F.when(column > 0, F.length(F.bin(column))).otherwise(0)
+
+
+def word_answers(counted: DataFrame) -> DataFrame:
+    """term, meant: the questions about words that have an answer."""
+    words = _entries(counted, "w").select(F.col("term").alias("word"), "n")
+    stats = words.agg(F.sum("n"), F.max("n")).first()
+    known = max(LEAST_COUNT, int((stats[0] or 0) * KNOWN_SHARE))
+    #: Words this frequent can be no misreading of any word.
+    certain = max(known, (stats[1] or 0) // TIMES_KNOWN + 1)
+    part = F.split("term", " ")
+    asked = _entries(counted, "t").select("term", part[0].alias("before"), part[1].alias("read"), part[2].alias("after"))
+    own = F.coalesce(F.col("n"), F.lit(0))
+    reads = asked.select("read").distinct().join(words.withColumnRenamed("word", "read"), "read", "left").select("read", own.alias("own")).filter(F.col("own") < certain)
+
+    def read_forms(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for read, n in rows:
+            for form in _forms(read):
+                yield form, read, n
+
+    def word_forms(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for word, n in rows:
+            for form in set(_deletes(word)):
+                yield form, word, n
+
+    def costs(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for read, n, word, times in rows:
+            cost = word_cost(read, word)
+            if 0 < cost <= DEAREST:
+                yield read, n, word, times, cost
+
+    index = words.filter((F.length("word") >= 3) & (F.col("n") >= TIMES * (LEAST_COUNT - 1)))
+    near = map_rows(reads, read_forms, "form string, read string, own bigint").join(map_rows(index, word_forms, "form string, word string, n bigint"), "form")
+    enough = F.when(F.col("own") >= known, TIMES_KNOWN * F.col("own")).otherwise(TIMES * F.greatest("own", F.lit(LEAST_COUNT - 1)))
+    near = near.filter((F.col("word") != F.col("read")) & (F.col("n") >= enough) & (F.abs(F.length("word") - F.length("read")) <= 2))
+    likely = map_rows(near.select("read", "own", "word", "n").distinct(), costs, "read string, own bigint, word string, n bigint, cost double")
+
+    def pair(a: str, b: str, read: bool) -> Column:
+        return F.struct(F.concat_ws(" ", a, b).alias("pair"), F.lit(read).alias("of_read"))
+
+    meant = [pair("before", "word", False), pair("word", "after", False)]
+    ways = F.when(F.col("own") >= known, F.array(*meant, pair("before", "read", True), pair("read", "after", True))).otherwise(F.array(*meant))
+    asked = asked.join(likely, "read").select("term", "own", "word", F.col("n").alias("times"), "cost", F.inline(ways))
+    pairs = _entries(counted, "p").select(F.col("term").alias("pair"), "n")
+    found = asked.join(pairs, "pair", "left").groupBy("term", "own", "word", "times", "cost")
+    said = F.coalesce(F.col("n"), F.lit(0))
+    found = found.agg(F.sum(F.when(F.col("of_read"), 0).otherwise(said)).alias("context"), F.sum(F.when(F.col("of_read"), said).otherwise(0)).alias("own_context"))
+    spoken = (F.col("own") < known) | (F.col("context") >= TIMES_BETWEEN * F.col("own_context") + LEAST_COUNT)
+    score = F.least(F.lit(6.0), _bit_length(F.col("times")) / 3) + F.least(F.lit(4), _bit_length(F.col("context"))) - 6 * F.col("cost")
+    best = found.filter(spoken).withColumn("score", score).filter("score > 0").groupBy("term").agg(F.max(F.struct("score", "word")).alias("best"))
+    return best.select(F.concat(F.lit("t"), "term").alias("term"), F.col("best.word").alias("meant"))
+
+
+def ideograph_answers(counted: DataFrame) -> DataFrame:
+    """term, meant: the questions about ideographs that have an answer."""
+    doubles = F.create_map(*[F.lit(x) for c, d in _DOUBLES.items() for x in (c, "".join(sorted(d)))])
+    at = F.substring("term", 1, 1).cast("int")
+    around = F.expr("substring(term, 2)")
+    asked = _entries(counted, "x").select("term", at.alias("at"), around.alias("around"))
+    asked = asked.withColumn("read", F.expr("substring(around, at + 1, 1)"))
+    # a window is known by the place of its ideograph and the two characters beside it
+    asked = asked.select("term", "read", F.explode(F.expr("""transform(filter(sequence(0, 2), d -> at >= d AND at - d + 3 <= length(around)),
+        d -> concat(d, substring(around, at - d + 1, d), substring(around, at + 2, 2 - d)))""")).alias("beside"))
+    windows = _entries(counted, "c").withColumn("d", F.substring("term", 1, 1).cast("int"))
+    windows = windows.selectExpr("concat(d, substring(term, 2, d), substring(term, d + 3)) AS beside", "substring(term, d + 2, 1) AS char", "n")
+    said = asked.join(windows, "beside").filter((F.col("char") == F.col("read")) | F.contains(doubles[F.col("read")], F.col("char")))
+    said = said.groupBy("term", "read", "char").agg(F.sum("n").alias("total"), F.count("*").alias("ends"))
+    other = F.col("char") != F.col("read")
+    said = said.groupBy("term").agg(F.max(F.when(other, F.struct("total", "ends", "char"))).alias("best"), F.max(F.when(~other, F.col("total"))).alias("own"))
+    total = F.col("best.total")
+    own = F.greatest(F.coalesce("own", F.lit(0)), F.lit(LEAST_COUNT - 1))
+    sure = (total >= LEAST_EVIDENCE) & (total >= TIMES * own) & ((F.col("best.ends") >= 2) | (total >= 20 * LEAST_COUNT))
+    return said.filter(sure).select(F.concat(F.lit("x"), "term").alias("term"), F.col("best.char").alias("meant"))
+
+
+def bitmap(answers: DataFrame) -> bytes:
+    """The bits of all terms; it has ``BITS`` bits whatever their number."""
+
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        pieces: dict[int, bytearray] = defaultdict(lambda: bytearray(PIECE_BITS // 8))
+        for piece, bit in rows:
+            pieces[piece][bit >> 3] |= 1 << (bit & 7)
+        for piece, bits in pieces.items():
+            yield piece, bytes(bits)
+
+    bit = F.crc32(F.encode("term", "utf-8")).bitwiseAND(BITS - 1)
+    bits = answers.select((bit / PIECE_BITS).cast("int").alias("piece"), (bit % PIECE_BITS).cast("int").alias("bit")).distinct().repartition("piece")
+    out = bytearray(BITS // 8)
+    for r in map_rows(bits, run, "piece int, bits binary", flush=64).toLocalIterator():
+        out[r["piece"] * PIECE_BITS // 8 : (r["piece"] + 1) * PIECE_BITS // 8] = r["bits"]
+    return bytes(out)
 
 
 class Scan:
     """Finds and repairs the noise of one text."""
 
-    def __init__(self, lex: Lexicon):
-        self.lex = lex.build()
+    def __init__(self, lex: Asked | Answers):
+        self.lex = lex
+
+    def ask(self, text: str) -> None:
+        """Put every question about the text, whatever its layout."""
+        self.ideographs(text)
+        for line in text.split("\n"):
+            self.words(line)
 
     def ideographs(self, text: str) -> list[tuple[int, str]]:
         """(offset, meant) of misread ideographs, judged over line breaks."""
         found = []
         back = [i for i, c in enumerate(text) if not (c == "\n" and 0 < i < len(text) - 1 and _joins(text[i - 1], text[i + 1]))]
         flat = _normal("".join(text[i] for i in back))
-        get = self.lex.windows.get
         for m in _DOUBTFUL.finditer(flat):
-            i, read = m.start(), m.group()
-            said = []
-            for char in (read, *sorted(_DOUBLES[read])):
-                total, ends = 0, 0
-                for a in (i - 2, i - 1, i):
-                    if a >= 0 and a + 3 <= len(flat):
-                        n = get(f"{i - a}{flat[a:i]}{char}{flat[i + 1 : a + 3]}", 0)
-                        total += n
-                        ends += n > 0
-                said.append((total, ends, char))
-            own = max(said[0][0], self.lex.cut["c"] - 1)
-            total, ends, char = max(said[1:])
-            if total >= LEAST_EVIDENCE and total >= TIMES * own and (ends >= 2 or total >= 20 * LEAST_COUNT):
+            i = m.start()
+            char = self.lex.get("x", f"{min(i, 2)}{flat[max(0, i - 2) : i + 3]}")
+            if char:
                 found.append((back[i], char))
         return found
 
@@ -332,11 +410,13 @@ class Scan:
                 continue
             if m.start() and hidden[m.start() - 1] in "-\0" or piece.isupper():
                 continue
+            if hidden[max(0, m.start() - 1) : m.start()] in _WIDTHLESS or hidden[m.end() : m.end() + 1] in _WIDTHLESS:
+                continue  # part of a word
             if "!" in piece and piece.index("!") == len(piece) - 1:
                 continue
             before = matches[k - 1].group().lower() if k else ""
             after = matches[k + 1].group().lower() if k + 1 < len(matches) else ""
-            meant = self.lex.repair(lower, before, after)
+            meant = self.lex.get("t", f"{before} {lower} {after}")
             if meant:
                 found.append((*m.span(), meant.capitalize() if piece[0].isupper() else meant))
         for m in _NUMBER.finditer(hidden):
@@ -361,12 +441,15 @@ class Scan:
         ideographs = self.ideographs(text)
         halves = {i for i, line in enumerate(page.lines) if re.search("[A-Za-z][-‐‑¬­]$", line.rstrip())}
         words = []
+        before = -1  # the last line of text, perhaps on the page before
         for i, line in enumerate(page.lines):
             spans = self.words(line) if page.kinds[i] != "heading" else []
             if i in halves and spans and spans[-1][1] >= len(line.rstrip()) - 1:
                 spans = spans[:-1]  # half a word
-            if spans and i and i - 1 in halves and not line[: spans[0][0]].strip():
+            if spans and (before in halves or i - 1 in halves) and not line[: spans[0][0]].strip():
                 spans = spans[1:]
+            if page.kinds[i] == "text":
+                before = i
             words.append(spans)
         if ideographs or any(words):
             kinds.append("misread")
@@ -411,31 +494,49 @@ def _paragraphs(body: str) -> str:
     return re.sub("\n{3,}", "\n\n", "\n".join(out)).strip()
 
 
-def scanned_noise(df: DataFrame, id_col: str, column: str, type_col: str, lex: Lexicon | None = None) -> DataFrame:
-    """id, noise: each kind of noise of each scanned text, once."""
-    shared = broadcast(df, lexicon(df, column) if lex is None else lex)
+def _judged(df: DataFrame, id_col: str, column: str, type_col: str, work: Callable[[Scan, str | None], tuple], schema: str) -> DataFrame:
+    """id and what ``work`` makes of each scanned text, given the answers to its questions."""
+    counted = count(df, column, type_col)
+    answers = cut_lineage(word_answers(counted).union(ideograph_answers(counted)))
+    shared = broadcast(df, bitmap(answers))  # BITS bits
 
-    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        scan = None
+    def probe(rows: Iterable[tuple]) -> Iterator[tuple]:
+        probed = Probed(shared.value)
+        scan = Scan(probed)
         for row_id, text in rows:
-            if row_id is not None and text:
-                scan = scan or Scan(shared.value)
-                for kind in scan.noise(text)[0]:
-                    yield row_id, kind
-
-    return map_rows(df.filter(F.col(type_col).isin(*SCANNED)).select(id_col, column), run, f"{id_col} bigint, noise string").distinct()
+            if row_id is not None:
+                probed.terms.clear()
+                made = work(scan, text)
+                if probed.terms:
+                    yield row_id, text, [sort + term for sort, term in probed.terms], *(None for _ in made)
+                else:
+                    yield row_id, None, None, *made
+
+    def answer(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for row_id, text, found in rows:
+            yield row_id, *work(Scan(Answers([(x["term"], x["meant"]) for x in found or []])), text)
+
+    texts = df.filter(F.col(type_col).isin(*SCANNED)).select(id_col, column)
+    probed = cut_lineage(map_rows(texts, probe, f"{id_col} bigint, text string, asked array<string>, {schema}", flush=512))
+    sure = probed.filter("asked is null").drop("text", "asked")
+    open_ = probed.filter("asked is not null")
+    found = open_.select(id_col, F.explode("asked").alias("term")).distinct().join(answers, "term")
+    found = found.groupBy(id_col).agg(F.collect_list(F.struct("term", "meant")).alias("found"))
+    rest = open_.select(id_col, "text").join(found, id_col, "left").select(id_col, "text", "found")
+    return sure.union(map_rows(rest, answer, f"{id_col} bigint, {schema}", flush=512))
+
+
+def scanned_noise(df: DataFrame, id_col: str, column: str, type_col: str) -> DataFrame:
+    """id, noise: each kind of noise of each scanned text, once."""
+    kinds = _judged(df, id_col, column, type_col, lambda scan, text: (scan.noise(text)[0] if text else [],), "kinds array<string>")
+    return kinds.select(id_col, F.explode("kinds").alias("noise")).distinct()
 
 
-def scanned_text(df: DataFrame, id_col: str, column: str, type_col: str, lex: Lexicon | None = None) -> DataFrame:
+def scanned_text(df: DataFrame, id_col: str, column: str, type_col: str) -> DataFrame:
     """id, repaired, noise: the scanned texts as continuous paragraphs; null for a null text."""
-    shared = broadcast(df, lexicon(df, column) if lex is None else lex)
 
-    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        scan = None
-        for row_id, text in rows:
-            if row_id is not None:
-                scan = scan or Scan(shared.value)
-                kinds, fixed = scan.repair(text) if text else ([], text)
-                yield row_id, fixed, kinds
+    def work(scan: Scan, text: str | None) -> tuple:
+        kinds, fixed = scan.repair(text) if text else ([], text)
+        return fixed, kinds
 
-    return map_rows(df.filter(F.col(type_col).isin(*SCANNED)).select(id_col, column), run, f"{id_col} bigint, repaired string, noise array<string>", flush=512)
+    return _judged(df, id_col, column, type_col, work, "repaired string, noise array<string>")

@@ -192,3 +192,22 @@ def test_word_cost():
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "result_id bigint, structured_text string, doc_type string")
     assert scans.scanned_noise(df, "result_id", "structured_text", "doc_type").collect() == []
+
+
+def test_rare_right_words_repair_misreadings_in_large_corpora(spark):
+    # so many other words and windows that a share of all occurrences would leave the right ones out
+    filler = ["a " * 2_500_000] * 2 + ["日 " * 2_500_000]
+    right = ["the engineer met us"] * 100 + ["土木工程"] * 10
+    rows = [(-1 - i, t, "text") for i, t in enumerate(filler + right)]
+    rows += [(1, "an engincer met us", "image"), (2, "見土本工程", "image"), (3, "the engineer met us", "image"), (4, "見土木工程", "image")]
+    df = spark.createDataFrame(rows, "result_id bigint, structured_text string, doc_type string")
+    assert {tuple(r) for r in scans.scanned_noise(df, "result_id", "structured_text", "doc_type").collect()} == {(1, "misread"), (2, "misread")}
+    fixed = {r["result_id"]: r["repaired"] for r in scans.scanned_text(df, "result_id", "structured_text", "doc_type").collect()}
+    assert fixed == {1: "an engineer met us", 2: "見土木工程", 3: "the engineer met us", 4: "見土木工程"}
+
+
+def test_answers_do_not_hang_on_the_bitmap(spark, monkeypatch, lexicon_and_rows):
+    df, _ = lexicon_and_rows
+    expected = {tuple(r) for r in scans.scanned_noise(df, "result_id", "structured_text", "doc_type").collect()}
+    monkeypatch.setattr(scans, "bitmap", lambda answers: b"\xff" * (scans.BITS // 8))
+    assert {tuple(r) for r in scans.scanned_noise(df, "result_id", "structured_text", "doc_type").collect()} == expected
