@@ -27,7 +27,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import broadcast, map_rows
@@ -427,23 +427,32 @@ def pieces(df: DataFrame, id_col: str, columns: list[str], model: Field, prefix_
     return map_rows(chosen, run, "field_no int, row_id bigint, kind string, pii_text string")
 
 
-def masked(df: DataFrame, id_col: str, column: str, model: Field) -> DataFrame:
-    """id, masked, pieces: the text with typed placeholders and nothing else changed; null for a null text."""
+def masked(df: DataFrame, id_col: str, columns: str | list[str], model: Field, prefix_col: str | None = None) -> DataFrame:
+    """The text of each column with typed placeholders and nothing else changed; null for a null text.
+
+    Of one column, given by name: id, masked, pieces. Of a list: field_no, row_id, masked, pieces.
+    ``prefix_col`` gives the words before a snippet.
+    """
     shared = broadcast(df, model)
+    single = isinstance(columns, str)
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         finder = PersonalData(shared.value)
-        for row_id, text in rows:
+        for row_id, prefix, *texts in rows:
             if row_id is None:
                 continue
-            out, at = [], 0
-            found = finder.find(text) if text else []
-            for a, b, kind in found:
-                out += [text[at:a], PLACEHOLDER[kind]]
-                at = b
-            yield row_id, text if text is None else "".join([*out, text[at:]]), len(found)
+            for i, text in enumerate(texts):
+                out, at = [], 0
+                found = finder.find(text, prefix or "") if text else []
+                for a, b, kind in found:
+                    out += [text[at:a], PLACEHOLDER[kind]]
+                    at = b
+                made = (row_id, text if text is None else "".join([*out, text[at:]]), len(found))
+                yield made if single else (i, *made)
 
-    return map_rows(df.select(id_col, column), run, f"{id_col} bigint, masked string, pieces int", flush=512)
+    chosen = df.select(id_col, F.col(prefix_col) if prefix_col else F.lit(None).cast("string"), *([columns] if single else columns))
+    schema = f"{id_col} bigint, masked string, pieces int" if single else "field_no int, row_id bigint, masked string, pieces int"
+    return map_rows(chosen, run, schema, flush=512)
 
 
 #: What a detector's entity says of the snippet, as the words that would stand before it.
@@ -453,13 +462,32 @@ ENTITY_WORDS = {
 }
 
 
+FIELD_NAMES = ["structured_text", "display_text"]
+
+
+def _field_name() -> Column:
+    return F.element_at(F.array(*map(F.lit, FIELD_NAMES)), F.col("field_no") + 1)
+
+
+def _before(findings: DataFrame) -> DataFrame:
+    words = F.element_at(F.create_map(*[F.lit(x) for pair in ENTITY_WORDS.items() for x in pair]), F.col("entity"))
+    return findings.select("finding_id", "text", F.when(F.col("entity").isNotNull(), words).alias("before"))
+
+
 def personal_data(results: DataFrame, findings: DataFrame, size: int = SAMPLE_TEXTS) -> DataFrame:
     """field_name, row_id, kind, pii_text: each distinct piece of personal data of both text fields and the snippets."""
     model = train_on(results, "result_id", "structured_text", size)
-    names = F.element_at(F.array(F.lit("structured_text"), F.lit("display_text")), F.col("field_no") + 1)
-    fields = pieces(results, "result_id", ["structured_text", "display_text"], model).withColumn("field_name", names)
-    words = F.element_at(F.create_map(*[F.lit(x) for pair in ENTITY_WORDS.items() for x in pair]), F.col("entity"))
-    snippets = findings.filter("text is not null").select("finding_id", "text", F.when(F.col("entity").isNotNull(), words).alias("before"))
+    fields = pieces(results, "result_id", FIELD_NAMES, model).withColumn("field_name", _field_name())
+    snippets = _before(findings.filter("text is not null"))
     snippets = pieces(snippets, "finding_id", ["text"], model, "before").withColumn("field_name", F.lit("finding_text"))
     columns = ["field_name", "row_id", "kind", "pii_text"]
     return fields.select(*columns).union(snippets.select(*columns)).distinct()
+
+
+def masked_data(results: DataFrame, findings: DataFrame, size: int = SAMPLE_TEXTS) -> DataFrame:
+    """field_name, row_id, masked, pieces: both text fields and the snippets with typed placeholders, null texts included."""
+    model = train_on(results, "result_id", "structured_text", size)
+    fields = masked(results, "result_id", FIELD_NAMES, model).withColumn("field_name", _field_name())
+    snippets = masked(_before(findings), "finding_id", ["text"], model, "before").withColumn("field_name", F.lit("finding_text"))
+    columns = ["field_name", "row_id", "masked", "pieces"]
+    return fields.select(*columns).union(snippets.select(*columns)).dropDuplicates(["field_name", "row_id"])

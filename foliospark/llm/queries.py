@@ -9,7 +9,7 @@ from .garble import garbled_ids, repair_encoding
 from .lookalike import consistent_spelling, misspelled_ids
 from .mixture import mixture, shares_reached
 from .neardup import near_duplicate_classes, near_duplicate_pairs
-from .personal import masked, personal_data, train_on
+from .personal import masked_data, personal_data
 from .scans import scanned_noise, scanned_text
 from .subjects import document_subjects
 from .tokenizer import encode_ids
@@ -58,9 +58,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The structured texts with typed placeholders."""
-    results = _results(spark, sf_dir, "structured_text")
-    return masked(results, "result_id", "structured_text", train_on(results, "result_id", "structured_text")).dropDuplicates(["result_id"])
+    """Both texts of the results and the detector's snippets with typed placeholders."""
+    return masked_data(_results(spark, sf_dir, *TEXT_FIELDS), text_rows(spark, sf_dir, "pii_findings", "finding_id", "entity", "text"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,3 +104,16 @@ def test_masked_changes_nothing_else(spark, finder):
 def test_empty(spark):
     empty = p.personal_data(spark.createDataFrame([], RESULTS), spark.createDataFrame([], "finding_id bigint, entity string, text string"))
     assert empty.collect() == []
+
+
+def test_every_field_is_masked(spark):
+    rows = [(i, t, None) for i, t in enumerate(training())] + [(1000, "電話：(02) 2345-6789", "寄 a@b.co"), (1000, "電話：(02) 2345-6789", "寄 a@b.co"), (1001, None, "")]
+    results = spark.createDataFrame(rows, "result_id bigint, structured_text string, display_text string")
+    findings = spark.createDataFrame([(1, "EMAIL", "a@b.co"), (2, None, None), (4, "PASSPORT", "345368553"), (5, "BANK_ACCOUNT", "345368553"), (1, "EMAIL", "a@b.co")], "finding_id bigint, entity string, text string")
+    made = p.masked_data(results, findings).collect()
+    got = {(r["field_name"], r["row_id"]): r["masked"] for r in made}
+    assert len(made) == len(got) == 2 * (len(rows) - 1) + 4
+    assert got["structured_text", 1000] == "電話：[PHONE]" and got["display_text", 1000] == "寄 [EMAIL]"
+    assert got["structured_text", 1001] is None and got["display_text", 1001] == ""
+    snippets = {k: v for (name, k), v in got.items() if name == "finding_text"}
+    assert snippets == {1: "[EMAIL]", 2: None, 4: "[ID_NUMBER]", 5: "345368553"}
