@@ -125,11 +125,12 @@ class Merger:
         n = len(ids)
         width = max(2, 1 << (n - 1).bit_length())
         none = 1 << 60
+        shift = max(_SHIFT, width.bit_length())  # the position of any byte fits below the rank
         tree = [none] * (2 * width)
         for i in range(n - 1):
             rank = pairs.get(ids[i] << 17 | ids[i + 1])
             if rank is not None:
-                tree[width + i] = rank << _SHIFT | i
+                tree[width + i] = rank << shift | i
         for k in range(width - 1, 0, -1):
             a, b = tree[2 * k], tree[2 * k + 1]
             tree[k] = a if a < b else b
@@ -148,8 +149,8 @@ class Merger:
                 k >>= 1
 
         while tree[1] != none:
-            i = tree[1] & ((1 << _SHIFT) - 1)
-            ids[i] = tree[1] >> _SHIFT
+            i = tree[1] & ((1 << shift) - 1)
+            ids[i] = tree[1] >> shift
             gone = after[i]
             right = after[i] = after[gone]
             ids[gone] = -1
@@ -157,13 +158,13 @@ class Merger:
             if right < n:
                 before[right] = i
                 rank = pairs.get(ids[i] << 17 | ids[right])
-                update(i, none if rank is None else rank << _SHIFT | i)
+                update(i, none if rank is None else rank << shift | i)
             else:
                 update(i, none)
             left = before[i]
             if left >= 0:
                 rank = pairs.get(ids[left] << 17 | ids[i])
-                update(left, none if rank is None else rank << _SHIFT | left)
+                update(left, none if rank is None else rank << shift | left)
         return [x for x in ids if x >= 0]
 
     def merge_many(self, pieces: list[bytes], width: int) -> list[bytes]:

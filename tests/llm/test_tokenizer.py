@@ -61,3 +61,11 @@ def test_other_vocabulary(spark):
     df = spark.createDataFrame([(1, "多語言 text")], "doc_id bigint, text string")
     other = tiktoken.Encoding("other", pat_str=tok.PATTERN, mergeable_ranks=tok.vocabulary("byte_bpe_multi_50k").whole, special_tokens={})
     assert tok.encode_ids(df, "text", ["doc_id"], name="byte_bpe_multi_50k").first()["ids"] == other.encode_ordinary("多語言 text")
+
+
+def test_positions_of_long_runs_stay_below_the_rank(monkeypatch):
+    merger = tok.Merger(tok.vocabulary())
+    piece = ("".join(random.Random(3).choices("etaoinshr", k=3000))).encode()
+    right = merger.merge_one(piece)
+    monkeypatch.setattr(tok, "_SHIFT", 10)  # as if the run were longer than the positions that fit
+    assert merger.merge_one(piece) == right
