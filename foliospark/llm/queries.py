@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import table, text_rows
 from .garble import garbled_ids, repair_encoding
 from .lookalike import consistent_spelling, misspelled_ids
-from .mixture import mixture, shares_reached
+from .mixture import mixture, shard_report, shares_reached
 from .neardup import near_duplicate_classes, near_duplicate_pairs
 from .personal import masked_data, personal_data
 from .scans import scanned_noise, scanned_text
@@ -87,6 +87,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares_reached(text_rows(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each shard of the mixture was drawn to hold of each source, and holds."""
+    return shard_report(text_rows(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))
+
+
 def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = text_rows(spark, sf_dir, "documents", "doc_id", "text")
     samples, areas = table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subject_areas")
@@ -119,6 +124,7 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_shards": p7_shards,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }

@@ -64,20 +64,63 @@ def test_quotas():
 
 def test_splitting_tree_keeps_every_block():
     blocks = [1000, 37, 0, 5]
-    tree = mx.splitting_tree(blocks, 7)
+    tree = mx.SplittingTree(blocks, 7).quotas()
     assert tree.sum(axis=0).tolist() == blocks and (tree >= 0).all()
     assert np.ptp(tree.sum(axis=1)) <= 3
     # the draw is hypergeometric: over seeds the mean of a shard's count is its share
-    mean = np.mean([mx.splitting_tree(blocks, 4, seed)[0, 0] for seed in range(300)])
+    mean = np.mean([mx.SplittingTree(blocks, 4, seed).quotas()[0, 0] for seed in range(300)])
     assert mean == pytest.approx(250, abs=3)
 
 
-def test_permutation(spark):
-    from pyspark.sql import functions as F
-
-    size = 97
-    rows = spark.range(size).select(mx.permuted(F.col("id"), F.lit(size), F.lit(mx._multiplier(size, 3))).alias("p")).collect()
-    assert sorted(r["p"] for r in rows) == list(range(size))
+def test_every_block_goes_where_the_tree_says():
+    blocks = [501, 37, 5]
+    tree = mx.SplittingTree(blocks, 11)
+    source = np.repeat(np.arange(3, dtype=np.int32), blocks)
+    turn = np.concatenate([np.arange(n) for n in blocks])
+    shuffled = np.random.default_rng(1).permutation(len(turn))
+    shard = mx.SplittingTree(blocks, 11).shards_of(source[shuffled], turn[shuffled])
+    counted = np.zeros((11, 3), dtype=int)
+    np.add.at(counted, (shard, source[shuffled]), 1)
+    assert (counted == tree.quotas()).all()
+
+
+def test_splitting_tree_of_more_blocks_than_the_library_draws_from():
+    blocks = [3_000_000_000_000 // mx.BLOCK_TOKENS, 5_000_000_000, 7, 0]
+    tree = mx.SplittingTree(blocks, 16).quotas()
+    assert tree.sum(axis=0).tolist() == blocks and (tree >= 0).all() and np.ptp(tree.sum(axis=1)) <= 5
+    assert sum(blocks) > mx.LIBRARY_COUNTS
+
+
+def test_draws_of_many_balls_have_mean_and_spread_of_the_few(monkeypatch):
+    counts, size = np.array([600, 300, 100]), 400
+    exact = [mx.draw(np.random.default_rng(i), counts, size) for i in range(3000)]
+    monkeypatch.setattr(mx, "LIBRARY_COUNTS", 0)
+    own = [mx.draw(np.random.default_rng(i), counts, size) for i in range(3000)]
+    assert all(x.sum() == size and (x >= 0).all() and (x <= counts).all() for x in own)
+    assert np.mean(own, axis=0) == pytest.approx(np.mean(exact, axis=0), abs=0.6)
+    assert np.std(own, axis=0) == pytest.approx(np.std(exact, axis=0), rel=0.08)
+
+
+def test_permutation():
+    for size in (1, 2, 3, 97, 4096, 5001):
+        made = mx.permuted(np.arange(size), size, 3)
+        assert sorted(made.tolist()) == list(range(size))
+    made = mx.permuted(np.arange(5001), 5001, 3)
+    assert len(set(np.diff(made).tolist())) > 2000  # consecutive blocks keep no stride
+    assert made.tolist() != mx.permuted(np.arange(5001), 5001, 4).tolist()
+
+
+def test_shards_hold_what_the_tree_drew(spark):
+    docs, targets = spark.createDataFrame(documents(4000, 40), D_SCHEMA), spark.createDataFrame(TARGETS, T_SCHEMA)
+    rows = mx.shard_report(docs, targets, shards=9, block=64).collect()
+    longest = 60  # tokens of the longest document, and of a block
+    last = {s: max(r["shard"] for r in rows if r["source"] == s) for s in ("big", "small")}
+    for r in rows:
+        assert abs(r["quota_tokens"] - r["tokens"]) < 2 * longest + (64 if r["shard"] == last[r["source"]] else 0)
+    whole = mx.mixture(docs, targets, shards=9, block=64).groupBy("shard", "source").sum("n_tokens").collect()
+    assert {(r[0], r[1]): r[2] for r in whole} == {(r["shard"], r["source"]): r["tokens"] for r in rows if r["tokens"]}
+    assert {r["shard"] for r in rows} == set(range(9))
+    assert len({r["shard"] for r in mx.mixture(docs, targets, block=64).collect()}) == mx.LEAST_SHARDS
 
 
 # ---- subjects
