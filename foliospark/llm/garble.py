@@ -1,21 +1,26 @@
 """Problem 3: texts decoded with another encoding than they were written in.
 
 A passage is a node of a graph; its edges encode it (text to bytes), decode it (bytes to text) or
-unescape it (text to text). A best-first search walks the graph from the passage as found: the
-frontier is ordered by the plausibility cost of the text a node stands for, visited states are
-remembered by hash, and the cheapest text reached is the restoration, provided that it is cheaper
-than the passage by a margin that depends on how much the last step proves (strict UTF-8 with
-multi-byte sequences hardly ever succeeds by chance; the two-byte encodings often do).
+unescape it (text to text: ``&#35531;``, ``&eacute;``, ``\\u8acb``, ``%E8%AB%8B``). A best-first search
+walks the graph from the passage as found: the frontier is ordered by the plausibility cost of the text
+a node stands for, visited states are remembered by hash, and the cheapest text reached is the
+restoration, provided that it is cheaper than the passage by a margin that depends on how much the
+last step proves (strict UTF-8 with multi-byte sequences hardly ever succeeds by chance; the two-byte
+encodings often do; an escape must stand for letters).
+
+A text is expanded if the step to it proves itself, it is cheaper than the text it came from and still
+holds odd characters or escapes. Costs fall along every path, so the search ends by itself: neither rounds nor steps are limited.
 
 The cost of a text is the sum of its characters' bits over the corpus (``charstats``), with a
-fixed cost for what never stands in a text by right: replacement characters, C1 controls, private
-and unassigned characters. Those also mark a passage that can't be restored as garbled.
+fixed cost for what never stands in a text by right: escapes, replacement characters, C1 controls,
+private and unassigned characters. The last three also mark a passage that can't be restored as garbled.
 
-Only lines that hold a character which is not ordinary in the corpus are searched. Within a line
-the whole line, then the runs without ideographs, then the words are tried.
+Only lines that hold an escape or a character which is not ordinary in the corpus are searched. Within a
+line the whole line, then runs of escapes, the runs without ideographs, then the words are tried.
 
 Defined cases: null and empty texts are unaffected; a very long line is searched like any other;
-foreign words and symbols that no path makes cheaper stay as they are.
+foreign words and symbols that no path makes cheaper stay as they are, and so do escapes in addresses
+of the web and escapes of plain ASCII.
 """
 
 from __future__ import annotations
@@ -23,8 +28,10 @@ from __future__ import annotations
 import codecs
 import heapq
 import html
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -37,18 +44,23 @@ from .charstats import WORST, character_costs
 READ_WITH = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "cp850", "cp1250", "koi8_r", "gbk", "cp950", "cp932", "cp949")
 WRITTEN_IN = ("utf-8", "cp950", "gbk")
 DOUBLE_BYTE = {"gbk", "cp950", "cp932", "cp949"}
-#: Nodes taken from the frontier for one passage; two rounds of wrong decoding need about ten.
-EXPANSIONS = 48
 #: Bits by which a restoration must be cheaper.
-UTF8_MARGIN, OTHER_MARGIN, OTHER_SHARE, OTHER_LEAST = 3.0, 8.0, 0.3, 2
+UTF8_MARGIN, OTHER_MARGIN, OTHER_SHARE = 3.0, 8.0, 0.3
+#: Wide characters that a two-byte encoding must yield to prove itself: at once, and after other steps.
+OTHER_LEAST, AGAIN_LEAST = 2, 6
 #: Most bits a wide character of a text restored from a two-byte encoding may cost on average.
 OTHER_BITS = 6.0
 #: Share of a decoded text that may be lost bytes.
 MOST_LOST = 0.2
+#: Bits of an escape, beside those of its characters.
+ESCAPE_BITS = 6.0
 #: A line is looked at if it holds a character of more than this many bits.
 ORDINARY_BITS = 8.0
 
-_ESCAPES = re.compile(r"&(?:#\d+|#x[0-9A-Fa-f]+|[A-Za-z]{2,8});|\\u[0-9a-fA-F]{4}|(?:%[0-9A-F]{2}){2,}")
+_ESCAPE = r"&(?:#\d{2,7}|#x[0-9A-Fa-f]{2,6}|[A-Za-z][A-Za-z0-9]{1,30});|\\u[0-9a-fA-F]{4}|(?:%[0-9A-Fa-f]{2}){2,}"
+_ESCAPES = re.compile(_ESCAPE)
+_ESCAPED_RUN = re.compile(f"(?:{_ESCAPE})+(?:[ -]?(?:{_ESCAPE})+)*")
+_ADDRESS_OR_ESCAPE = re.compile(f"(?P<address>https?://\\S+)|{_ESCAPE}")
 _IDEOGRAPHIC = re.compile("[⺀-鿿가-힯豈-﫿︰-￯]+")
 _WORD = re.compile("[^ \t\ufffd]+")
 _LOST_LETTER = re.compile(r"(?<![?\w])\?[a-z]{2,}\?(?!\w)|[A-Za-z]\?[a-z]{2,}|[a-z]\?[a-z]+\?")
@@ -92,6 +104,8 @@ class GarbleSearch:
         for char in text:
             bits = get(char, unseen)
             total += bits if bits < 1 or not _misplaced(char) else WORST
+        if "&" in text or "\\u" in text or "%" in text:
+            total += ESCAPE_BITS * len(_ESCAPES.findall(text))
         return total
 
     def search(self, passage: str, hint: tuple[str, ...] = ()) -> tuple[float, str, tuple[str, ...]]:
@@ -103,49 +117,54 @@ class GarbleSearch:
         start = self.cost(passage)
         if hint and (again := self._follow(passage, hint)) is not None:
             gain = start - self.cost(again)
-            if "\ufffd" not in again and self._proves(again, hint[-1], gain, start):
+            if "\ufffd" not in again and self._proves(passage, again, hint, gain, start):
                 return gain, again, hint
         best = (0.0, passage, ())
-        frontier: list[tuple[float, int, str | bytes, tuple[str, ...]]] = [(start, 0, passage, ())]
+        # price of the text a node stands for, order of arrival, state, path, price of the text before
+        frontier: list[tuple[float, int, str | bytes, tuple[str, ...], float]] = [(start, 0, passage, (), math.inf)]
         visited = {(str, hash(passage))}
         count = 0
-        for _ in range(EXPANSIONS):
-            if not frontier:
-                break
-            cost, _, state, path = heapq.heappop(frontier)
+        while frontier:
+            cost, _, state, path, before = heapq.heappop(frontier)
+            if isinstance(state, str) and not self._goes_on(state, cost, before):
+                continue
             for step, reached, price in self._edges(state, cost, path):
                 mark = (type(reached), hash(reached))  # a text and its bytes may hash alike
                 if mark in visited:
                     continue
                 visited.add(mark)
                 count += 1
-                heapq.heappush(frontier, (price, count, reached, (*path, step)))
                 if isinstance(reached, str):
                     gain = start - price
-                    if gain > best[0] and self._proves(reached, step, gain, start):
+                    if gain <= 0 or not self._proves(passage, reached, (*path, step), gain, start):
+                        continue
+                    if gain > best[0]:
                         best = (gain, reached, (*path, step))
+                heapq.heappush(frontier, (price, count, reached, (*path, step), cost))
         return best
 
+    def _goes_on(self, text: str, cost: float, before: float) -> bool:
+        """Whether a text is worth expanding: it must be cheaper than the one before, and still be odd."""
+        return cost < before and (before == math.inf or "\ufffd" not in text and (self.odd.search(text) is not None or _ESCAPES.search(text) is not None))
+
     def _edges(self, state: str | bytes, cost: float, path: tuple[str, ...]) -> Iterator[tuple[str, str | bytes, float]]:
         if isinstance(state, bytes):
             for name in WRITTEN_IN:
-                # a second round, or one over the encoding just left, can only be UTF-8 read twice
-                if name != "utf-8" and (len(path) > 1 or path[-1] == f"encode {name}"):
+                if path[-1] == f"encode {name}":  # back to where it came from
                     continue
                 text = state.decode(name, "replace")
                 lost = text.count("\ufffd")
-                if lost and (len(path) > 1 or lost > MOST_LOST * len(text) + 1):
+                if lost and (len(path) > 1 or lost > MOST_LOST * len(text) + 1):  # what was already right loses nothing
                     continue
                 yield f"decode {name}", text, self.cost(text)
             return
-        if path and (len(path) >= 6 or path[-1] != "decode utf-8" or "\ufffd" in state or self.odd.search(state) is None):
-            return
         for name in READ_WITH:
             try:
                 raw = state.encode(name, "folio_controls")
             except UnicodeError:
                 continue
-            yield f"encode {name}", raw, cost
+            if not raw.isascii():
+                yield f"encode {name}", raw, cost
         if _ESCAPES.search(state):
             plain = _unescape(state)
             if plain != state:
@@ -162,14 +181,17 @@ class GarbleSearch:
             return None
         return state
 
-    def _proves(self, reached: str, step: str, gain: float, start: float) -> bool:
-        if step == "unescape":
-            return False
+    def _proves(self, passage: str, reached: str, path: tuple[str, ...], gain: float, start: float) -> bool:
+        step = path[-1]
         lost = reached.count("\ufffd")
+        if step == "unescape":
+            made = Counter(c for c in reached if c > "\x7f")
+            made.subtract(c for c in passage if c > "\x7f")
+            return gain > UTF8_MARGIN and not lost and any(n > 0 and c.isalpha() for c, n in made.items()) and not any(map(_misplaced, made))
         if step == "decode utf-8":
             return gain > UTF8_MARGIN and sum(c > "\x7f" for c in reached) > 2 * lost
         wide = [c for c in reached if "\u3000" <= c <= "\u9fff" or "\uff01" <= c <= "\uff5e"]
-        if len(wide) < OTHER_LEAST or lost > MOST_LOST * len(wide) or self.cost("".join(wide)) > OTHER_BITS * len(wide):
+        if len(wide) < (OTHER_LEAST if len(path) == 2 else AGAIN_LEAST) or lost > MOST_LOST * len(wide) or self.cost("".join(wide)) > OTHER_BITS * len(wide):
             return False
         return gain > max(OTHER_MARGIN, OTHER_SHARE * start)
 
@@ -196,10 +218,10 @@ class GarbleSearch:
         lead = line.find(body) if body else 0
         if "\ufffd" not in body:
             gain, fixed, path = self.search(body, hint)
-            if gain > 0 and self.odd.search(fixed) is None:
+            if gain > 0 and self.odd.search(fixed) is None and path != ("unescape",):
                 return [(lead, lead + len(body), fixed, path)]
             parts = self._parts(line, hint)
-            if gain > 0 and gain >= sum(part[-1] for part in parts):
+            if gain > 0 and gain >= sum(part[-1] for part in parts) and path != ("unescape",):
                 return [(lead, lead + len(body), fixed, path)]
         else:
             return self._lossy(line, hint)
@@ -232,6 +254,11 @@ class GarbleSearch:
     def _parts(self, line: str, hint: tuple[str, ...]) -> list[tuple[int, int, str, tuple[str, ...], float]]:
         """Runs without ideographs, else words, that are cheaper when decoded anew."""
         found = []
+        for m in _ESCAPED_RUN.finditer(line):  # an escape ends where it ends; what stands around it is not garbled by it
+            if "://" not in line[line.rfind(" ", 0, m.start()) + 1 : m.start()]:
+                gain, fixed, path = self.search(m.group())
+                if gain > 0:
+                    found.append((*m.span(), fixed, path, gain))
         at = 0
         runs: list[tuple[int, int]] = []
         for m in _IDEOGRAPHIC.finditer(line):  # ideographs stand between the runs
@@ -239,7 +266,7 @@ class GarbleSearch:
             at = m.end()
         runs.append((at, len(line)))
         for a, b in runs:
-            if b <= a or self.odd.search(line, a, b) is None:
+            if b <= a or self.odd.search(line, a, b) is None or any(x < b and a < y for x, y, *_ in found):
                 continue
             gain, fixed, path = self.search(line[a:b], hint) if b - a < len(line) else (0.0, "", ())
             if gain > 0:
@@ -259,16 +286,23 @@ class GarbleSearch:
 
 
 def _unescape(text: str) -> str:
-    text = html.unescape(text)
-    text = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m.group(1), 16)), text)
-
-    def unquote(m: re.Match) -> str:
+    """Escapes replaced by what they stand for, but in addresses of the web; bytes are read as UTF-8."""
+
+    def plain(m: re.Match) -> str:
+        piece = m.group()
+        if m.group("address"):
+            return piece
+        if piece[0] == "&":
+            return html.unescape(piece)
+        if piece[0] == "\\":
+            return chr(int(piece[2:], 16))
         try:
-            return bytes.fromhex(m.group().replace("%", "")).decode("utf-8")
+            return bytes.fromhex(piece.replace("%", "")).decode("utf-8")
         except UnicodeDecodeError:
-            return m.group()
+            return piece
 
-    return re.sub(r"(?:%[0-9A-F]{2}){2,}", unquote, text)
+    out = _ADDRESS_OR_ESCAPE.sub(plain, text)
+    return out.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if re.search("[\ud800-\udfff]", out) else out
 
 
 def splice(text: str, passages: list[tuple[int, int, str, tuple[str, ...]]]) -> str:

@@ -62,6 +62,45 @@ def test_restores_what_can_be_restored(spark):
     assert right >= len(cases) - 2 and len(cases) >= 8
 
 
+ESCAPED = {
+    "備註 \\u8acb\\u65bc\\u671f\\u9593 三樓": ("備註 請於期間 三樓", ["unescape"]),
+    "附件 &#35531;&#26044;&#26371;&#35696; 完": ("附件 請於會議 完", ["unescape"]),
+    "the caf&eacute; agreed": ("the café agreed", ["unescape"]),
+    "內容 %E8%AB%8B%E6%96%BC%E6%9C%83%E8%AD%B0。": ("內容 請於會議。", ["unescape"]),
+    "the na&Atilde;&macr;ve result": ("the naïve result", ["unescape", "encode cp1252", "decode utf-8"]),
+    "the na&#195;&#175;ve result": ("the naïve result", ["unescape", "encode cp1252", "decode utf-8"]),
+}
+#: Escapes in their right place, or of nothing but ASCII.
+NOT_GARBLED = ["see https://www.example.com/%E8%AB%8B%E6%96%BC?a=1", "profit &amp; loss of 5%20 and 100%", "path C:\\users\\u12 and R&D; done"]
+
+
+def test_escapes_are_restored(spark):
+    texts = [*corpus(), *ESCAPED, *NOT_GARBLED]
+    rows = {r["result_id"]: r for r in garble.repair_encoding(frame(spark, texts), "result_id", "structured_text").collect()}
+    start = len(texts) - len(ESCAPED) - len(NOT_GARBLED)
+    for i, (text, (right, path)) in enumerate(ESCAPED.items()):
+        row = rows[start + i]
+        assert row["affected"] and row["restored"] == right, text
+        assert [p["path"] for p in row["passages"]] in ([path], [[path[0], "encode latin-1", *path[2:]]]), text
+    assert not any(rows[len(texts) - 1 - i]["affected"] for i in range(len(NOT_GARBLED)))
+
+
+def test_rounds_are_not_limited(spark):
+    text = "naïve café"
+    for _ in range(4):
+        text = text.encode().decode("latin-1")
+    rows = garble.repair_encoding(frame(spark, [*corpus(), f"a {text} b"]), "result_id", "structured_text").collect()
+    found = next(r for r in rows if r["affected"])
+    assert found["restored"] == "a naïve café b" and len(found["passages"][0]["path"]) == 8
+
+
+def test_two_rounds_of_different_encodings(spark):
+    text = "請於會議前辦理，契約工程報告"
+    wrong = text.encode("big5").decode("latin-1").encode().decode("latin-1")
+    rows = garble.repair_encoding(frame(spark, [*corpus(), f"a\n{wrong}\nb"]), "result_id", "structured_text").collect()
+    assert next(r for r in rows if r["affected"])["restored"] == f"a\n{text}\nb"
+
+
 def _decodes(raw, name):
     try:
         raw.decode(name)
