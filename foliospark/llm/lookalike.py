@@ -5,8 +5,10 @@ compatibility and radical forms, letters with a separate accent that have a comp
 spaces, characters of no width. Look-alike letters are judged by token: a token's dominant script is
 that of its letters which no other script has a double for, else that of most letters; only in a
 token of mixed scripts are the others' letters replaced by their doubles, and only when the result
-is a word of the corpus vocabulary (every token of one script that any text holds). A mixed token whose result is
-no such word stays as it is and is reported as suspected.
+is in the corpus vocabulary: a token of one script that any text holds, or one made of two parts of such
+tokens (a whole one, or a beginning and an ending that ``SHARED_BY`` different ones share), as names and
+compounds are that no text spells ordinarily. A mixed token whose result is not in the vocabulary stays as
+it is, is reported as suspected and makes no case by itself.
 
 Garbled passages (problem 3) are left alone. No cases: Chinese punctuation, the ideographic space,
 composed accents, typographic quotes, words wholly in one script, joiners inside emoji.
@@ -39,6 +41,9 @@ WIDTHLESS = "­͏᠎​‌‍⁠⁡⁢⁣⁤﻿"
 #: Radical forms without a compatibility mapping of their own.
 RADICALS = {"⺀": "丶", "⺃": "乚", "⺅": "亻", "⺈": "刀", "⺉": "刂", "⺌": "小", "⺕": "彐", "⺗": "心", "⺘": "扌", "⺝": "月", "⺠": "民", "⺡": "氵", "⺣": "灬", "⺤": "爪", "⺥": "爫", "⺩": "王", "⺫": "目", "⺬": "示", "⺮": "竹", "⺯": "糸", "⺲": "罒", "⺶": "羊", "⺷": "羊", "⺻": "聿", "⺼": "月", "⺾": "艹", "⻂": "衤", "⻃": "覀", "⻄": "西", "⻅": "見", "⻆": "角", "⻈": "訁", "⻉": "貝", "⻋": "車", "⻌": "辶", "⻑": "長", "⻒": "長", "⻓": "長", "⻔": "門", "⻘": "青", "⻙": "韋", "⻚": "頁", "⻛": "風", "⻜": "飛", "⻝": "食", "⻢": "馬", "⻤": "鬼", "⻥": "魚", "⻦": "鳥", "⻨": "麥", "⻩": "黃", "⻬": "齊", "⻮": "齒", "⻰": "龍"}
 
+#: A beginning or ending belongs to the vocabulary if so many different words share it, and has so many letters.
+SHARED_BY, LEAST_PART = 3, 3
+
 _FULLWIDTH = "".join(chr(c) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), 0xFF20))
 
 
@@ -205,6 +210,22 @@ def vocabulary_forms(df: DataFrame, column: str) -> DataFrame:
     return map_rows(df.select(column), run, "form string").distinct()
 
 
+def _compounds(unknown: DataFrame, words: DataFrame) -> DataFrame:
+    """token, place, form of the forms made of two parts of the vocabulary; only parts that are asked about are counted."""
+    form = F.lower("form")
+    cuts = F.sequence(F.lit(2), F.length("form") - 2)
+    split = unknown.filter(F.length("form") >= 4).select("token", "place", "form", F.explode(cuts).alias("cut"))
+    split = split.select("token", "place", "form", F.left(form, F.col("cut")).alias("first"), F.substr(form, F.col("cut") + 1).alias("last"))
+    sides = {}
+    for side, part in (("first", lambda n: F.left("word", n)), ("last", lambda n: F.right("word", n))):
+        sizes = F.sequence(F.lit(2), F.length("word"))
+        parts = words.filter(F.length("word") >= 2).select("word", F.explode(sizes).alias("n")).select(part(F.col("n")).alias(side), (F.col("n") == F.length("word")).alias("whole"))
+        asked = parts.join(split.select(side).distinct(), side, "left_semi")
+        counted = asked.groupBy(side).agg(F.count("*").alias("n"), F.max("whole").alias("whole"))
+        sides[side] = counted.filter(f"whole or n >= {SHARED_BY} and length({side}) >= {LEAST_PART}").select(side)
+    return split.join(sides["first"], "first", "left_semi").join(sides["last"], "last", "left_semi").select("token", "place", "form").distinct()
+
+
 def consistent_spelling(df: DataFrame, id_col: str, column: str, costs: dict[str, float] | None = None) -> DataFrame:
     """id, spelling, kinds, repaired, suspected: one row per input row with an id.
 
@@ -215,8 +236,9 @@ def consistent_spelling(df: DataFrame, id_col: str, column: str, costs: dict[str
     shared = broadcast(df, character_costs(df, column) if costs is None else costs)
     first = cut_lineage(_first_pass(df, id_col, column, shared).filter("size(kinds) > 0 or size(mixed) > 0"))
     tokens = first.select(F.explode("mixed").alias("m")).select("m.token", F.posexplode("m.forms").alias("place", "form")).distinct()
-    words = vocabulary_forms(df, column).withColumnRenamed("form", "word")
-    known = tokens.join(words, F.lower("form") == F.col("word"), "left_semi")
+    words = cut_lineage(vocabulary_forms(df, column).withColumnRenamed("form", "word"))
+    whole = tokens.join(words, F.lower("form") == F.col("word"), "left_semi")
+    known = whole.union(_compounds(tokens.join(whole.select("token").distinct(), "token", "left_anti"), words))
     known = known.groupBy(F.col("token").alias("good")).agg(F.min_by("form", "place").alias("fixed"))
     used = first.select("row_id", F.explode("mixed").alias("m")).select("row_id", "m.token").join(known, F.col("token") == F.col("good"), "left")
     judged = used.groupBy("row_id").agg(
@@ -239,5 +261,6 @@ def consistent_spelling(df: DataFrame, id_col: str, column: str, costs: dict[str
 
 
 def misspelled_ids(df: DataFrame, id_col: str, column: str, costs: dict[str, float] | None = None) -> DataFrame:
-    """Ids of the rows whose text needed another spelling, or holds a token suspected to, each once."""
-    return consistent_spelling(df, id_col, column, costs).filter("size(kinds) > 0").select(id_col).distinct()
+    """Ids of the rows whose text needed another spelling, each once; tokens only suspected to make no case."""
+    needed = F.exists("kinds", lambda kind: kind != "suspected")
+    return consistent_spelling(df, id_col, column, costs).filter(needed).select(id_col).distinct()

@@ -133,6 +133,7 @@ SPELLED = {
     "發⽂⽇期 ﬁle 年": ("發文日期 file 年", ["compatibility"]),
     "the rероrt is": ("the report is", ["lookalike"]),
     "Тhе date": ("The date", ["lookalike"]),
+    "the budgеtоffice": ("the budgetoffice", ["lookalike"]),
     "odd Zуqqх word": ("odd Zуqqх word", ["suspected"]),
 }
 ORDINARY = ["全形，標點。　空格", "“quotes” – dash", "Москва Київ Αθήνα", "β and Ω and 5 µm", "👩‍💻 👨‍👩‍👧", "naïve café", "１２３", "", None]
@@ -146,7 +147,7 @@ def test_spelling(spark):
     assert got == SPELLED
     assert set(rows) == set(range(start, start + len(SPELLED)))
     ids = [r[0] for r in lookalike.misspelled_ids(frame(spark, texts), "result_id", "structured_text").collect()]
-    assert sorted(ids) == sorted(rows)
+    assert sorted(ids) == sorted(i for i, r in rows.items() if r["kinds"] != ["suspected"]) and len(ids) == len(rows) - 1
 
 
 def test_garbled_passages_are_left_alone(spark):
