@@ -10,6 +10,7 @@ import pytest
 
 from foliospark.llm import mixture as mx
 from foliospark.llm import subjects as sj
+from foliospark.llm.subject_terms import CURATED
 from foliospark.llm.tokenizer import VOCABULARY_DIR
 
 if not Path(VOCABULARY_DIR).exists():
@@ -181,3 +182,23 @@ def test_held_out_accuracy(tiny):
 
 def test_sentences():
     assert sj.sentences("第一句話在這裡。第二句？\n主旨：標題\n| 表 | 格 |\nIt cost 3.5 euros today. The end came.") == ["第一句話在這裡。", "It cost 3.5 euros today.", "The end came."] or len(sj.sentences("甲乙丙丁戊己庚。")) == 1
+    assert sj.sentences("a line of words without any mark\n\nanother line\n| a | b |") == ["a line of words without any mark", "another line"]
+    assert sj.sentences("") == [] and sj.sentences("  \n12\n") == []
+
+
+def test_terms_are_curated_and_thresholds_are_the_subjects_own(tiny):
+    table = pd.read_parquet(Path(tiny) / "subject_samples.parquet")
+    areas = pd.read_parquet(Path(tiny) / "subject_areas.parquet")
+    titles = {r.subject: [r.title_en, r.title_zh, r.scope_note] for r in areas.itertuples()}
+    model = sj.fit([(t, list(s)) for t, s in zip(table["text"], table["subjects"])], sorted(titles), titles)
+    assert set(model.terms) == set(sj.curated(sorted(titles), titles)) and len(set(model.thresholds)) > 1
+    assert set(CURATED) == set(titles) and all(zh.split() and en for zh, en in CURATED.values())
+    weights = [w for _, per in model.terms.values() for w in per.values()]
+    assert min(weights) >= 0 and len(set(weights)) > 100
+
+
+def test_terms_match_words_and_inflections_only():
+    model = sj.SubjectModel(["a"], {"calibrat": (True, {0: 1.0}), "cell": (False, {0: 1.0}), "細胞": (False, {0: 1.0})}, [0.1])
+    hits = lambda text: [sorted(h) for h in sj._hits(text, model.automaton(), sj.sentence_spans(text))]
+    assert hits("The cells were calibrated. A cellar, an excell and cell. 幹細胞已經送回實驗室。") == [["calibrat", "cell"], ["cell"], ["細胞"]]
+    assert hits("İ cells were recalibrated here.") == [["cell"]]
