@@ -9,31 +9,32 @@ from pathlib import Path
 
 from .config import load_settings
 from .operators import audit, batch, compare
-from .session import ensure_checkpoint_dir, local_session
+from .session import cut_lineage, ensure_checkpoint_dir, local_session
 
 
 def process(args: argparse.Namespace) -> int:
     """Exit code 0, 1 without files, 2 if any file failed."""
     from .plans.pipeline import process_path
-    from .sources.manifest import list_files
-    from .sources.sinks import write_csv, write_markdown
+    from .sources.sinks import join_parts, write_csv, write_lines, write_markdown
 
-    if not any(True for _ in list_files(args.path)):
-        print("找不到可處理的檔案。")
-        return 1
     settings, out = load_settings(args.settings), Path(args.out)
     spark = local_session("*")
     ensure_checkpoint_dir(spark)
-    mask = not args.no_mask
-    results = process_path(spark, args.path, settings, mask=mask).checkpoint()
-    write_markdown(results, out)
-    (out / "report.md").write_text(batch.report_markdown(results), encoding="utf-8")
+    log = Path(settings["paths"]["logs"]) / "audit.jsonl" if settings["pii"]["audit_enabled"] else None
+    results = cut_lineage(process_path(spark, args.path, settings, log, mask=not args.no_mask))
+    total = batch.summary(results).first()
+    if not total["total"]:
+        print("找不到可處理的檔案。")
+        return 1
+    write_markdown(results, out, args.path)
+    write_lines(batch.report_lines(results), str(out / "report_parts"))
+    join_parts(out / "report_parts", out / "report.md")
     if batch.report_xlsx(results, str(out / "report.xlsx")) is None:
         write_csv(batch.report_table(results), str(out / "report_csv"))
-    if settings["pii"]["audit_enabled"]:
-        audit.AuditLog(Path(settings["paths"]["logs"]) / "audit.jsonl").write_events(audit.events(results, settings["pii"]["operator"], mask))
-    print(batch.report_markdown(results))
-    return 2 if batch.summary(results).first()["failed"] else 0
+    with open(out / "report.md", encoding="utf-8") as report:
+        for line in report:
+            print(line, end="")
+    return 2 if total["failed"] else 0
 
 
 def compare_files(args: argparse.Namespace) -> int:
@@ -63,7 +64,7 @@ def compare_files(args: argparse.Namespace) -> int:
 
 def verify(args: argparse.Namespace) -> int:
     path = args.log or str(Path(load_settings(args.settings)["paths"]["logs"]) / "audit.jsonl")
-    ok, message = audit.AuditLog(path).verify() if Path(path).exists() else (True, audit.NO_LOG)
+    ok, message = audit.verify_file(local_session("*"), path) if Path(path).exists() else (True, audit.NO_LOG)
     print(("✅ " if ok else "❌ ") + message)
     return 0 if ok else 1
 

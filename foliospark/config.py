@@ -7,7 +7,7 @@ from pathlib import Path
 from typing import Any
 
 DEFAULTS: dict[str, Any] = {
-    "paths": {"logs": "logs", "output": "output", "pii_rules": "config/pii_rules.yaml", "models": "models"},
+    "paths": {"logs": "logs", "output": "output", "pii_rules": "shipped", "models": "models"},
     "limits": {"max_file_size_mb": 200, "max_pdf_pages": 1000, "pdf_chunk_pages": 10, "max_retries": 2, "retry_backoff_sec": 2.0},
     "ocr": {"engine": "paddle", "lang": "chinese_cht", "use_gpu": "auto", "dpi": 300, "min_text_len_per_page": 50, "digital_coverage": 0.8, "scanned_coverage": 0.1},
     "pii": {"default_mask": True, "operator": "replace", "audit_enabled": True},

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import applied
 from .udfs import lazy_udf
 
 #: Java's Unicode blanks lack the four separators U+001C..U+001F.
@@ -54,9 +55,8 @@ def ngrams(text: Column, n: int = 2) -> Column:
 
 def chunks(text: Column, size: int = 400) -> Column:
     """The stripped text in pieces of ``size`` code points; one empty piece for an empty text."""
-    body = strip(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1)), F.lit(size))
-    return F.transform(starts, lambda i: F.substr(body, i, F.lit(size)))
+    pieces = F.regexp_extract_all(strip(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return applied(pieces, "CASE WHEN size(t) = 0 THEN array('') ELSE t END")
 
 
 def first_number(text: Column) -> Column:

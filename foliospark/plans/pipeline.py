@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..operators.audit import AuditLog, events
 from ..operators.pii import PiiRule, all_rules, analyze_and_mask
 from ..operators.routing import detect_type
 from ..operators.structure import structure
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 from ..sources.extract import extract
 from ..sources.manifest import manifest, with_content
 
@@ -36,8 +37,13 @@ def protect(results: DataFrame, mask: bool = True, operator: str = "replace", ru
 
 
 def results_of(files: DataFrame, settings: dict | None = None, mask: bool | None = None, operator: str | None = None, readers: dict | None = None, rules=None) -> DataFrame:
-    """Canonical results of files with file, file_name, ord, length, content, error_code, error."""
+    """Canonical results of files with file, file_name, ord, length, content, error_code, error.
+
+    Without ``rules`` the built-in ones apply and those of ``paths.pii_rules`` in the settings: a YAML file,
+    ``shipped`` for the rules that come with the package, or nothing.
+    """
     settings = settings or DEFAULTS
+    rules = all_rules(settings["paths"].get("pii_rules")) if rules is None else rules
     mask = settings["pii"]["default_mask"] if mask is None else mask
     operator = operator or settings["pii"]["operator"]
     read = extract(route(files), settings, readers)
@@ -54,8 +60,18 @@ def results_of(files: DataFrame, settings: dict | None = None, mask: bool | None
     return protect(rows, mask, operator, rules).select(*RESULT)
 
 
-def process_path(spark: SparkSession, path: str | Path, settings: dict | None = None, **options) -> DataFrame:
-    """Results of a local file or folder."""
+def process_path(spark: SparkSession, path: str | Path, settings: dict | None = None, audit_log: str | Path | None = None, **options) -> DataFrame:
+    """Results of a file or folder on any storage that all executors reach; ``ord`` follows the order of the paths.
+
+    With ``audit_log`` the results are written once and their events appended to that log, in order, by its one
+    writer, the driver.
+    """
     ship_package(spark)
     settings = settings or DEFAULTS
-    return results_of(with_content(manifest(spark, path), settings["limits"]["max_file_size_mb"]), settings, **options)
+    results = results_of(with_content(manifest(spark, path), settings["limits"]["max_file_size_mb"]), settings, **options)
+    if audit_log is None:
+        return results
+    results = cut_lineage(results)
+    operator, mask = options.get("operator") or settings["pii"]["operator"], options.get("mask")
+    AuditLog(audit_log).write_events(events(results, operator, settings["pii"]["default_mask"] if mask is None else mask))
+    return results

@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
 
+from ..operators.routing import size_error
 from ..operators.pii import BUILTIN_RULES, PiiRule, analyze_and_mask
 
 FILES = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()), StructField("length", LongType()), StructField("content", BinaryType())])
 
 
-def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """New files of a folder, with what ``results_of`` needs; usable in ``foreachBatch``."""
+def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000, max_mb: float = 200) -> DataFrame:
+    """New files of a folder, with what ``results_of`` needs; usable in ``foreachBatch``. Too large ones carry their error."""
     stream = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    empty = F.lit(None).cast("string")
+    problem = size_error(F.col("length"), max_mb)
     return stream.select(
-        F.col("path").alias("file"), name.alias("file_name"), F.xxhash64("path").alias("ord"), "length", "content", empty.alias("error_code"), empty.alias("error")
-    )
+        F.col("path").alias("file"), name.alias("file_name"), F.xxhash64("path").alias("ord"), "length", F.when(problem.isNull(), F.col("content")).alias("content"),
+        problem["code"].alias("error_code"), problem["message"].alias("error"),
+    )
 
 
 def protected_stream(texts: DataFrame, column: str = "text", operator: str = "replace", rules: tuple[PiiRule, ...] = BUILTIN_RULES) -> DataFrame:

@@ -1,6 +1,7 @@
 """Text, table and validator functions against plain Python."""
 
 import html
+import itertools
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliospark.functions import tables, text, validators
+from foliospark.functions.arrays import applied, literal, running
 
 WORDS = st.text(alphabet="ab1２ \t\n|　:：=甲乙姓名", max_size=24)
 
@@ -105,6 +107,21 @@ def test_validators(spark):
         assert one(spark, None, check) is False
 
 
+def test_full_width_digits_are_digits(spark):
+    assert many(spark, ["A１２３４５６７８９", "A1２３４５６７８９", "A123456789"], validators.identity_number) == [False, True, True]
+    assert many(spark, ["０４５９５２５７", "12345678"], validators.company_number) == [True, False]
+    assert many(spark, ["４１１１ 1111 1111 1111"], validators.luhn) == [True]
+
+
+def test_running(spark):
+    values = [[], [5], list(range(64)), [3, 1, 4] * 100, None]
+    sums = many(spark, values, lambda c: running(c, lambda a, b: f"{a} + {b}"), "array<int>")
+    assert sums == [None if v is None else list(itertools.accumulate(v)) for v in values]
+    tops = many(spark, values, lambda c: running(c, lambda a, b: f"greatest({a}, {b})"), "array<int>")
+    assert tops == [None if v is None else list(itertools.accumulate(v, max)) for v in values]
+    assert many(spark, ["a'b\\c"], lambda c: applied(c, f"concat(t, {literal(chr(39) + chr(92))})")) == ["a'b\\c'\\"]
+
+
 @pytest.mark.parametrize("name", ["tw_id", "tw_company_id", "luhn"])
 def test_registry(name):
     assert name in validators.VALIDATORS

@@ -132,11 +132,12 @@ ROWS = [
 def test_batch_reports(spark):
     df = results(spark, ROWS)
     assert batch.summary(df).first().asDict() == {"total": 3, "success": 1, "failed": 1, "skipped": 1, "avg_sec": 0.5}
-    report = batch.report_markdown(df)
+    text = lambda d: "\n".join(r["line"] for r in batch.report_lines(d).orderBy("section", "ord", "part").collect())
+    report = text(df)
     assert report.index("甲.txt") < report.index("乙.txt") < report.index("丙.txt")
     assert "（33.3%）" in report and "x" * 2000 in report and "x" * 2001 not in report
     empty = results(spark, [])
-    assert batch.summary(empty).first()["avg_sec"] == 0.0 and batch.report_markdown(empty) == batch.EMPTY_REPORT
+    assert batch.summary(empty).first()["avg_sec"] == 0.0 and text(empty) == batch.EMPTY_REPORT
     assert batch.report_table(df).columns == list(batch.SHEET_COLUMNS)
 
 
@@ -173,17 +174,51 @@ def test_audit(spark, tmp_path):
     df = spark.createDataFrame([(name, i, s) for name, rows in variants.items() for i, s in enumerate(rows, 1)], "log_name string, line_no bigint, raw string")
     found = {r["log_name"]: (r["fault_line"], r["fault"]) for r in audit.verify_chains(df).collect()}
     assert found == {name: fold(rows) for name, rows in variants.items()}
-    assert log.verify() == (True, audit.INTACT) and log.verify(anchor="else")[0] is False and log.verify(anchor=again.last)[0]
+    verify = lambda path, anchor=None: audit.verify_file(spark, path, anchor)
+    assert verify(log.path) == (True, audit.INTACT) and verify(log.path, "else")[0] is False and verify(log.path, again.last)[0]
+    assert verify(tmp_path / "none") == (True, audit.NO_LOG)
     for name, rows in variants.items():
         path = tmp_path / f"{name}.jsonl"
         path.write_text("\n".join(rows), encoding="utf-8")
-        ok, message = audit.AuditLog(path).verify()
+        ok, message = verify(path)
         line, kind = fold(rows)
         assert ok == (line is None) and (ok or f"第 {line} 行" in message)
         made = spark.createDataFrame([(kind, line)], "k string, n bigint").select(audit.verdict(F.col("k"), F.col("n")).alias("v")).first()["v"]
         assert made == message
 
 
+def test_line_separators_inside_a_line_break_no_chain(spark, tmp_path):
+    odd = "a\u2028b\u2029c\x85d\x0ce\rf.txt"
+    log = audit.AuditLog(tmp_path / "l.jsonl")
+    log.write("process", file=odd)
+    audit.AuditLog(log.path).write("process", file="second" * 40_000)
+    audit.AuditLog(log.path).write("process", file="third")
+    assert audit.verify_file(spark, log.path) == (True, audit.INTACT)
+    lines = audit.read_log(spark, str(log.path)).orderBy("line_no").collect()
+    assert [r["line_no"] for r in lines] == [1, 2, 3] and json.loads(lines[0]["raw"])["file"] == odd
+    with log.path.open("a", encoding="utf-8") as out:
+        out.write("{broken\n")
+    with pytest.raises(ValueError, match="last line"):
+        audit.AuditLog(log.path)
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    path = tmp_path / "long.jsonl"
+    path.write_text("".join(f"line {i} {'x' * (i % 50)}\n" for i in range(20_000)), encoding="utf-8")
+    (tmp_path / "logs").mkdir()
+    path.rename(tmp_path / "logs" / "long.jsonl")
+    (tmp_path / "logs" / "other.jsonl").write_text("line 0 \n", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        lines = audit.read_log(spark, str(tmp_path / "logs"))
+        assert lines.rdd.getNumPartitions() > 1 or lines.count() == 20_001
+        wrong = lines.filter("CAST(split(raw, ' ')[1] AS BIGINT) <> line_no - 1")
+        assert wrong.count() == 0 and lines.count() == 20_001
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_audit_across_blocks(spark, tmp_path):
     log = audit.AuditLog(tmp_path / "l.jsonl")
     entries = log.write_all({"event": "e", "n": i} for i in range(12))
@@ -230,12 +265,45 @@ def test_readers():
     mail = "From: 甲 <a@b.tw>\nTo: c@d.tw\nSubject: =?utf-8?b?5ris6Kmm?=\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n<p>您<b>好</b></p>\n--B\nContent-Type: text/plain\nContent-Disposition: attachment; filename=\"附.txt\"\n\nx\n--B\nContent-Type: application/pdf\nContent-Disposition: attachment\n\nx\n--B--\n"
     text = ex.read_email(mail.encode(), "m.eml", SETTINGS)["text"]
     assert "主旨：測試" in text and " 您 好" in text and "（未命名）" not in text and "(未命名)" in text
-    assert ex.ooxml_text(zipped("word/document.xml", "xl/sharedStrings.xml", "other.xml")) == "正文\n正文" and ex.ooxml_text(b"no zip") is None
+    assert ex.ooxml_parts(zipped("word/document.xml", "xl/sharedStrings.xml", "other.xml")) == ["<w>正文</w>"] * 2 and ex.ooxml_parts(b"no zip") == []
     with pytest.raises(ex.DocumentError):
         ex.read_office(b"no zip", "f.doc", SETTINGS)
     assert ex._ocr_lines([[[None, ("甲", 0.9)], [None, ("乙", 0.8)]], None, {"rec_texts": ["丙"]}]) == "甲\n乙\n丙"
 
 
+def test_office_text(spark):
+    files = [("a.docx", zipped("word/document.xml", "xl/sharedStrings.xml")), ("b.docx", zipped("word/other.xml")), ("c.docx", zipped("word/document.bin"))]
+    rows = [(f, f, i, "word", bytearray(c), None, None) for i, (f, c) in enumerate(files)]
+    df = spark.createDataFrame(rows, "file string, file_name string, ord bigint, doc_type string, content binary, error_code string, error string")
+    found = {r["file"]: r for r in ex.extract(df, SETTINGS).collect()}
+    assert found["a.docx"]["raw"]["text"] == "正文\n正文" and found["a.docx"]["raw"]["type"] == "office"
+    assert {f: found[f]["error_code"] for f in found} == {"a.docx": None, "b.docx": "corrupted", "c.docx": "corrupted"}
+
+
+def test_ocr_engine(tmp_path):
+    settings = {"ocr": {"engine": "paddle", "lang": "en", "use_gpu": "auto"}, "paths": {"models": str(tmp_path)}}
+    (tmp_path / "det").mkdir()
+    (tmp_path / "det" / "inference.pdmodel").write_bytes(b"")
+    calls = []
+
+    class Engine:
+        def __init__(self, **arguments):
+            calls.append(arguments)
+            if "det_model_dir" in arguments or "show_log" in arguments:
+                raise TypeError("unknown argument")
+
+        def ocr(self, image):
+            return [[[None, (image, 0.9)]]]
+
+    made = ex.OcrEngine(settings, Engine)
+    assert made.read("甲") == "甲" and [sorted(c) for c in calls] == [
+        ["det_model_dir", "lang", "show_log", "use_angle_cls", "use_gpu"], ["det_model_dir", "lang", "use_angle_cls"], ["lang", "show_log", "use_angle_cls", "use_gpu"], ["lang", "use_angle_cls"],
+    ]
+    assert ex.wants_gpu({"ocr": {"use_gpu": True}}) and not ex.wants_gpu(settings)
+    with pytest.raises(ex.DocumentError, match="OCR"):
+        ex.OcrEngine({"ocr": {"engine": "none"}}).read("甲")
+
+
 def test_images():
     page = np.full((150, 240), 250, np.uint8)
     page[30:120:15, 20:220] = 10

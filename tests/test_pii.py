@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark.functions.validators import VALIDATORS
 from foliospark.operators import pii
 
 from .test_functions import many, plain_company, plain_identity, plain_luhn
@@ -83,6 +84,29 @@ def test_number_covered_once(spark):
     assert masked == "匯款帳號驗證手機 《手機號碼》 謝謝"
 
 
+def test_guard_goes_by_the_rule_not_its_name(spark):
+    own = pii.PiiRule("EMAIL", "信箱", r"\w+ \(at\) \w+")
+    other = pii.PiiRule("MAIL", "信箱", r"\w+ \(at\) \w+")
+    for rule in (own, other):
+        [found] = many(spark, ["寫信 a (at) b"], lambda c: pii.detect(c, (rule,)))
+        assert [f["text"] for f in found] == ["a (at) b"]
+
+
+def test_many_findings(spark):
+    text = "".join(f"a{i}@b.tw 0912-345-678," for i in range(300))
+    [found] = many(spark, [text], lambda c: pii.detect(c, RULES))
+    assert [(f["entity"], f["start"], f["end"], f["text"]) for f in found] == plain_detect(text)
+    [masked] = many(spark, [text], lambda c: pii.mask(c, pii.detect(c, RULES), "replace"))
+    assert masked == plain_mask(text, "replace")
+
+
+def test_validator_registered_as_a_column_function(spark, monkeypatch):
+    monkeypatch.setitem(VALIDATORS, "even", lambda c: c.cast("int") % 2 == 0)
+    rule = pii.PiiRule("EVEN", "偶數", r"\d+", validator="even")
+    [found] = many(spark, ["3 4 10 7"], lambda c: pii.detect(c, (rule,)))
+    assert [f["text"] for f in found] == ["4", "10"]
+
+
 def test_yaml_rules(tmp_path):
     path = tmp_path / "rules.yaml"
     path.write_text("pii_rules:\n  - {name: BADGE, regex: 'K-\\d+'}\n", encoding="utf-8")
@@ -90,4 +114,7 @@ def test_yaml_rules(tmp_path):
     assert (rule.label, rule.score, rule.context_required) == ("BADGE", 0.7, False)
     path.write_text("pii_rules:\n  - {name: BADGE, regex: '('}\n", encoding="utf-8")
     assert pii.load_custom_rules(path) == () and pii.load_custom_rules(tmp_path / "none") == ()
-    assert len(pii.all_rules()) == 11 and len(pii.rules_from_yaml(pii.SHIPPED_YAML)) == 3
+    for bad in ("pii_rules: 3", "- a", "pii_rules: [{name: A}]", "pii_rules: [{name: A, regex: x, score: high}]", "a: [", "pii_rules: [x]"):
+        assert pii.rules_from_yaml(bad) == ()
+    assert pii.rule_or_fault({"name": "A", "regex": "x", "validator": "nobody's", "more": 1}) == pii.PiiRule("A", "A", "x", 0.7)
+    assert len(pii.all_rules(pii.SHIPPED)) == 14 and len(pii.all_rules()) == 11 and len(pii.rules_from_yaml(pii.SHIPPED_YAML)) == 3
