@@ -47,10 +47,7 @@ def chars(text: Column) -> Column:
 
 def ngrams(text: Column, n: int = 2) -> Column:
     """Runs of ``n`` code points of the text without blanks, in order and with repeats."""
-    squeezed = squeeze(text)
-    return F.when(
-        F.length(squeezed) >= n, F.transform(F.sequence(F.lit(1), F.length(squeezed) - (n - 1)), lambda i: F.substr(squeezed, i, F.lit(n)))
-    ).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(squeeze(text), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def chunks(text: Column, size: int = 400) -> Column:

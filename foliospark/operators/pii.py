@@ -181,6 +181,11 @@ def rule_matches(text: Column, rule: PiiRule, rule_no: int) -> Column:
     return found
 
 
+def matches(text: Column, rules: tuple[PiiRule, ...] = BUILTIN_RULES) -> Column:
+    """The findings of all rules, rule by rule, before overlaps are resolved; none in a null text."""
+    return applied(text, f"coalesce({found_sql(tuple(rules), range(len(rules)))}, {_NONE})")
+
+
 def _by(*keys: str) -> str:
     """A comparator of findings by the keys in turn; a key with a minus goes down."""
     ways = "".join(f"WHEN {a}.{k.lstrip('-')} < {b}.{k.lstrip('-')} THEN -1 WHEN {a}.{k.lstrip('-')} > {b}.{k.lstrip('-')} THEN 1 " for k in keys for a, b in [("q", "p") if k[0] == "-" else ("p", "q")])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,48 +14,9 @@ from ..operators import audit, batch, compare, pii, routing, structure
 from ..sources.extract import extract, read_text
 from ..sources.tables import table, text_rows
 from ..streaming.pipeline import status_windows
+from . import file_queries, rule_queries  # noqa: F401  register their queries
 from .pipeline import results_of, route
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-#: Blanks of any script, for the oracle's regular expressions.
-B = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
-def strip_sql(text: str) -> str:
-    return f"regexp_replace({text}, '\\A{B}+|{B}+\\z', '', 'g')"
-
-
-def clean_sql(text: str) -> str:
-    plain = f"translate({text}, '０１２３４５６７８９—‒–', '0123456789---')"
-    return strip_sql(f"regexp_replace(regexp_replace({plain}, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
-
-
-def query(oracle: str | None = None):
-    """Register a query under its name, with its oracle if SQL can express it."""
-
-    def add(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[fn.__name__] = fn
-        if oracle:
-            ORACLES[fn.__name__] = oracle
-        return fn
-
-    return add
-
-
-def once(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Results with redelivered rows counted once; they are equal but for the time of loading."""
-    return table(spark, sf_dir, "doc_results").select("result_id", *columns).dropDuplicates(["result_id"])
-
-
-def results(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Results as delivered. What is a function of a row is computed first and counted once after, so that
-    no text is shuffled to find redelivered rows."""
-    return text_rows(spark, sf_dir, "doc_results", "result_id", *columns)
-
-
-RESULTS = "(SELECT * FROM doc_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY loaded_at) = 1)"
+from .registry import COMPANY_SQL, CARD_SQL, MOBILE_SQL, ORACLES, QUERIES, RESULTS, TW_ID_SQL, B, clean_sql, company_ok_sql, id_ok_sql, id_sum_sql, luhn_ok_sql, once, query, results, strip_sql
 
 # ---- structuring ----------------------------------------------------------------------------------
 
@@ -154,37 +113,6 @@ def _mobile(k: Column) -> Column:
     return F.concat(F.lit("09"), F.lpad((k % 100000000).cast("string"), 8, "0"))
 
 
-TW_ID_SQL = "chr(CAST(65 + {0} % 26 AS INTEGER)) || CAST(1 + {0} % 2 AS VARCHAR) || lpad(CAST(({0} * 7919) % 100000000 AS VARCHAR), 8, '0')"
-COMPANY_SQL = "lpad(CAST(({0} * 104729) % 100000000 AS VARCHAR), 8, '0')"
-CARD_SQL = "'4' || lpad(CAST(({0}::HUGEINT * 15485863) % 1000000000000000 AS VARCHAR), 15, '0')"
-MOBILE_SQL = "'09' || lpad(CAST({0} % 100000000 AS VARCHAR), 8, '0')"
-_LETTER_LIST = "[10,11,12,13,14,15,16,17,34,18,19,20,21,22,35,23,24,25,26,27,28,29,32,30,31,33]"
-
-
-def digit_sql(text: str, place: int) -> str:
-    return f"TRY_CAST(substr({text}, {place}, 1) AS INTEGER)"
-
-
-def id_sum_sql(text: str) -> str:
-    code = f"({_LETTER_LIST})[ascii({text}) - 64]"
-    return f"({code} // 10 + ({code} % 10) * 9 + " + " + ".join(f"{digit_sql(text, i + 2)} * {w}" for i, w in enumerate((8, 7, 6, 5, 4, 3, 2, 1, 1))) + ")"
-
-
-def id_ok_sql(text: str) -> str:
-    return f"(regexp_full_match({text}, '[A-Z][12][0-9]{{8}}') AND {id_sum_sql(text)} % 10 = 0)"
-
-
-def company_ok_sql(text: str) -> str:
-    total = " + ".join(f"({digit_sql(text, i + 1)} * {w}) // 10 + ({digit_sql(text, i + 1)} * {w}) % 10" for i, w in enumerate((1, 2, 1, 2, 1, 2, 4, 1)))
-    return f"(regexp_full_match({text}, '[0-9]{{8}}') AND (({total}) % 5 = 0 OR (substr({text}, 7, 1) = '7' AND ({total} + 1) % 5 = 0)))"
-
-
-def luhn_ok_sql(text: str) -> str:
-    digit = f"CAST(substr({text}, CAST(i AS INTEGER), 1) AS INTEGER)"
-    double = f"CASE WHEN (length({text}) - i) % 2 = 1 THEN (2 * {digit}) // 10 + (2 * {digit}) % 10 ELSE {digit} END"
-    return f"(list_sum(list_transform(range(1, length({text}) + 1), lambda i: {double})) % 10 = 0)"
-
-
 @query(f"""WITH c AS (SELECT o_orderkey, {TW_ID_SQL.format(_KEY)} AS value FROM orders)
     SELECT o_orderkey, value, {id_ok_sql("value")} AS valid FROM c""")
 def validate_tw_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,14 +298,6 @@ def pii_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
-def pii_report_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fourteen rules over all results; SQL has no lookbehind, so tests check it against a plain version."""
-    rules = pii.BUILTIN_RULES + pii.rules_from_yaml(pii.SHIPPED_YAML)
-    found = pii.analyze_and_mask(results(spark, sf_dir, "structured_text"), "structured_text", "replace", rules)
-    return found.select("result_id", "pii_report.pii_count", "pii_report.pii_types", F.md5("pii_report.masked_text").alias("masked")).dropDuplicates(["result_id"])
-
-
 @query("""WITH f AS (SELECT * FROM pii_findings QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY loaded_at) = 1)
     SELECT entity, label, CAST(count(*) AS BIGINT) AS findings, CAST(count(DISTINCT result_id) AS BIGINT) AS results, max(score) AS best FROM f GROUP BY 1, 2""")
 def findings_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,6 +335,13 @@ NGRAM_SQL = f"""
         FROM p LEFT JOIN s ON s.a = p.a AND s.b = p.b LEFT JOIN n na ON na.doc_id = p.a LEFT JOIN n nb ON nb.doc_id = p.b)"""
 
 
+@query(f"WITH {NGRAM_SQL} SELECT pair_id, a, b, score FROM scored")
+def ngram_by_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relational form, for texts that occur in very many pairs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compare.ngram_similarity_by_gram(docs, _neighbours(spark, sf_dir))
+
+
 @query(f"WITH {NGRAM_SQL} SELECT pair_id, a, b, score FROM scored")
 def ngram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -427,6 +354,16 @@ def similarity_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy(compare.similarity_band(F.col("score")).alias("band")).agg(F.count("*").alias("pairs"))
 
 
+@query(f"""WITH r AS (SELECT result_id, string_split(structured_text, chr(10)) AS a, string_split(display_text, chr(10)) AS b FROM {RESULTS} WHERE structured_text IS NOT NULL AND display_text IS NOT NULL),
+    d AS (SELECT result_id, len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) AS n, len(a) = len(b) AS aligned FROM r)
+    SELECT result_id, CAST(n AS INTEGER) AS added, CAST(n AS INTEGER) AS removed FROM d WHERE aligned""")
+def text_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines added and removed between each result's text and its displayed form, where masking kept the lines."""
+    rows = results(spark, sf_dir, "structured_text", "display_text").filter("size(split(structured_text, '\n', -1)) = size(split(display_text, '\n', -1))")
+    diff = rows.select("result_id", compare.diff_text(F.col("structured_text"), F.col("display_text")).alias("d"))
+    return diff.select("result_id", "d.added", "d.removed").dropDuplicates(["result_id"])
+
+
 @query()
 def text_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each result's text against its displayed form; the matcher of the standard library has no SQL."""
@@ -463,10 +400,14 @@ def field_compare_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pair_id", "field", "match", "score")
 
 
-@query()
+_FUZZY = "CASE c_custkey % 3 WHEN 2 THEN 0.0 ELSE 2.0 * length(c_name) / (2 * length(c_name) + 1) END"
+
+
+@query(f"SELECT c_custkey AS pair_id, 'name' AS field, {_FUZZY} >= 0.85 AS match, round({_FUZZY}, 3)::DOUBLE AS score FROM customer")
 def field_compare_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with one character more, before or after, or none at all: what the matcher's ratio is follows from their lengths."""
     found = compare.field_compare(_maps(spark, sf_dir), "a", "b", {"name": {"type": "fuzzy", "threshold": 0.85}})
-    return compare.match_share(found, "field")
+    return found.select("pair_id", "field", "match", "score")
 
 
 _BODY = strip_sql("text")
@@ -646,11 +587,45 @@ def audit_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.join(faults, "log_name", "left").select("log_name", "lines", F.coalesce("broken", F.lit(0)).cast("bigint").alias("broken_links"))
 
 
-@query()
+_VALUE = """replace(json_extract(raw, '$."' || k || '"')::VARCHAR, '","', '", "')"""
+_KEYS = "list_sort(list_filter(json_keys(raw), lambda k: k NOT IN ('prev_hash', 'entry_hash')))"
+
+
+def _verify_sql(lines: str) -> str:
+    return f"""l AS (SELECT log_name, line_no, CASE WHEN json_valid(raw) THEN raw END AS raw FROM {lines} WHERE trim(raw) <> ''),
+    h AS (SELECT log_name, line_no, raw, raw ->> '$.prev_hash' AS prev, raw ->> '$.entry_hash' AS claimed,
+        '{{' || array_to_string(list_transform({_KEYS}, lambda k: '"' || k || '": ' || {_VALUE}), ', ') || '}}' AS body FROM l),
+    e AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN repeat('0', 64) ELSE lag(claimed) OVER w END AS expected FROM h WINDOW w AS (PARTITION BY log_name ORDER BY line_no)),
+    f AS (SELECT log_name, line_no, CASE WHEN raw IS NULL THEN 'json' WHEN prev IS DISTINCT FROM expected THEN 'link' WHEN sha256(coalesce(expected, '') || body) IS DISTINCT FROM claimed THEN 'hash' END AS fault FROM e),
+    first AS (SELECT log_name, min(line_no) AS fault_line, arg_min(fault, line_no) AS fault FROM f WHERE fault IS NOT NULL GROUP BY 1),
+    n AS (SELECT log_name, CAST(count(*) AS BIGINT) AS lines FROM {lines} GROUP BY 1)
+    SELECT n.log_name, fault IS NULL AS ok, lines, coalesce(fault_line, 0) AS fault_line, fault, CASE fault WHEN 'json' THEN '第 ' || fault_line || ' 行不是合法 JSON（可能被竄改）' WHEN 'link' THEN '第 ' || fault_line || ' 行 prev_hash 斷鏈（前面有記錄被刪除或修改）'
+        WHEN 'hash' THEN '第 ' || fault_line || ' 行內容與雜湊不符（該行被竄改）' ELSE '稽核日誌完整無竄改' END AS verdict FROM n LEFT JOIN first USING (log_name)"""
+
+
+def _verified(lines: DataFrame) -> DataFrame:
+    found = audit.verify_chains(lines)
+    return found.withColumn("verdict", audit.verdict(F.col("fault"), F.col("fault_line"))).na.fill(0, ["fault_line"])
+
+
+@query("WITH " + _verify_sql(_LINES))
 def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First fault of each log; the hashed JSON needs Python's canonical form, so tests check it against a plain fold."""
-    found = audit.verify_chains(_lines(spark, sf_dir))
-    return found.withColumn("verdict", audit.verdict(F.col("fault"), F.col("fault_line")))
+    """First fault of each log: broken JSON, broken link or wrong hash of the canonical form."""
+    return _verified(_lines(spark, sf_dir))
+
+
+_TAMPER = "CASE WHEN way = 'altered' AND line_no % 997 = 40 THEN replace(raw, '\"event\": \"', '\"event\": \"x') WHEN way = 'torn' AND line_no = 30 THEN substr(raw, 1, 20) WHEN way = 'blank' AND line_no % 3 = 0 THEN raw || '  ' ELSE raw END"
+_WAYS = ("altered", "torn", "cut", "headless", "blank")
+_KEPT = "NOT (way = 'cut' AND line_no = 50) AND NOT (way = 'headless' AND line_no = 1)"
+
+
+@query(f"""WITH t AS (SELECT log_name || '/' || way AS log_name, line_no, {_TAMPER} AS raw FROM {_LINES}, (SELECT unnest({list(_WAYS)}) AS way) WHERE {_KEPT}),
+    """ + _verify_sql("t"))
+def audit_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every log once for each way of tampering with it, verified: an altered line, a torn one, a deleted one, no first one, blanks at the end."""
+    ways = F.explode(F.array(*map(F.lit, _WAYS))).alias("way")
+    lines = _lines(spark, sf_dir).select("log_name", "line_no", "raw", ways).filter(_KEPT)
+    return _verified(lines.select(F.concat("log_name", F.lit("/"), "way").alias("log_name"), "line_no", F.expr(_TAMPER).alias("raw")))
 
 
 @query(f"""SELECT 'pii_scan' AS event, file_name AS file, CAST(count(*) AS BIGINT) AS n, CAST(sum(pii_report.pii_count) AS BIGINT) AS total FROM {RESULTS} WHERE status = 'success' GROUP BY 2
@@ -662,10 +637,11 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("event", "file").agg(F.count("*").alias("n"), F.sum(amount).alias("total"))
 
 
-@query("""SELECT o_orderkey, sha256(repeat('0', 64) || '{"event": "order", "key": ' || o_orderkey || '}') AS entry_hash FROM orders""")
+@query("""SELECT o_orderkey, sha256(sha256(o_orderkey::VARCHAR) || '{"event": "訂單", "key": ' || o_orderkey || ', "state": ["' || o_orderstatus || '", null]}') AS entry_hash FROM orders""")
 def audit_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.format_string('{"event": "order", "key": %d}', F.col("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.concat(F.lit(audit.GENESIS), body), 256).alias("entry_hash"))
+    """The hash of lines whose keys are in another order and whose blanks are others than the canonical ones."""
+    raw = F.format_string('{"state":["%s" ,null], "prev_hash":"x","key":  %d,"event":"\\u8a02單","entry_hash": "y"}', F.col("o_orderstatus"), F.col("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", audit.line_hash(F.sha2(F.col("o_orderkey").cast("string"), 256), raw).alias("entry_hash"))
 
 
 @query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY loaded_at DESC) AS k FROM doc_results)

@@ -14,7 +14,7 @@ UNIFORM = {"mask_keep", "audit_hash", "latest_results", "batch_summary", "findin
 
 
 def plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, bool) or str(type(value)).find("bool") >= 0:
         return bool(value)
