@@ -15,8 +15,12 @@ at 0.7 is 0.33; over 18 segments a pair at the threshold is missed with probabil
 at 0.75 below 0.00003. Pairs below the threshold never come out, since each is verified exactly.
 
 Copies are one text: signatures, keys and verification are per distinct text, so a group of
-copies costs one text, however large it is. Hot keys are left to the skew join of adaptive
-execution, which splits them; nothing is capped.
+copies costs one text, however large it is. The index is moved once, into as many partitions as its
+size asks for, and sorted; texts of one key then follow each other, and pairs come from runs of
+equal keys. A run longer than ``HOT`` (a segment that boilerplate shares) is not paired at all: its texts,
+whatever their keys, are joined exactly by their rarest runs instead (``_pairs_of_hot``): two sets at
+least as alike as the threshold have one of the few rarest elements of each in common, and those are
+not boilerplate. No task holds a run, nothing is capped, and no link is lost by it.
 
 Defined cases: null texts and texts without a run of five characters belong to no pair; redelivered
 rows count once; ids of equal texts pair with alikeness 1; other columns are ignored.
@@ -27,8 +31,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 from .arrow import map_rows
@@ -37,6 +43,10 @@ RUN = 5
 THRESHOLD = 0.7
 SEGMENTS, SEGMENT = 18, 7
 SEED = 20_240_607
+#: Texts of one key from which they are joined by their rarest runs instead.
+HOT = 256
+#: Rows of the index in one partition.
+PARTITION_ROWS = 1_500_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -161,6 +171,74 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
     return map_rows(pairs.select("text_a", "text_b", "body_a", "body_b"), run, "text_a bigint, text_b bigint, alike double")
 
 
+def _paired(index: DataFrame) -> DataFrame:
+    """text_a < text_b of each run of equal keys, repeatedly where texts share several; of hot runs, text_a alone.
+
+    ``index`` is sorted by key and text within its partitions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if b is not None else pa.nulls(len(a), pa.int64())], names=["text_a", "text_b"])
+
+        keys, ids, hot = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), None
+        for batch in batches:
+            keys, ids = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(1).to_numpy()])
+            if not len(keys):
+                continue
+            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+            lengths = np.diff(np.concatenate([starts, [len(keys)]]))
+            heavy = (lengths > HOT) | (keys[starts] == hot) if hot is not None else lengths > HOT
+            open_heavy = bool(heavy[-1])  # the last run may go on: a hot one is handed on, any other kept back
+            hot = keys[-1] if open_heavy else None
+            of_heavy = np.repeat(heavy, lengths)
+            if heavy.any():
+                yield made(ids[of_heavy])
+            done = len(keys) if open_heavy else starts[-1]
+            k, i = keys[:done][~of_heavy[:done]], ids[:done][~of_heavy[:done]]
+            for apart in range(1, HOT):
+                same = np.flatnonzero(k[apart:] == k[:-apart])
+                if not len(same):
+                    break
+                yield made(i[same], i[same + apart])
+            keys, ids = (keys[:0], ids[:0]) if open_heavy else (keys[done:], ids[done:])
+        for apart in range(1, len(keys)):
+            yield made(ids[:-apart], ids[apart:])
+
+    return index.mapInArrow(run, "text_a bigint, text_b bigint")
+
+
+def _pairs_of_hot(bodies: DataFrame, per_mille: int) -> DataFrame:
+    """text_a < text_b among the given texts: a superset of the pairs at least ``per_mille`` alike, exactly.
+
+    The runs of a text are ordered by how few of the texts have them. Sets of a and b elements with at least
+    o in common share one of the first a - o + 1 of the one and the first b - o + 1 of the other, and o is at
+    least the threshold's share of either size.
+    """
+
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for text_id, body in rows:
+            runs = run_hashes(body).view(np.int64).tolist()
+            for gram in runs:
+                yield text_id, gram, len(runs)
+
+    grams = map_rows(bodies.select("text_id", "body"), run, "text_id bigint, gram bigint, n int", flush=16384)
+    counts = grams.groupBy("gram").agg(F.count("*").alias("texts"))
+    rank = F.row_number().over(Window.partitionBy("text_id").orderBy("texts", "gram"))  # one text's runs
+    least = F.ceil(F.col("n") * per_mille / 1000)
+    rare = grams.join(counts, "gram").withColumn("rank", rank).filter((F.col("rank") <= F.col("n") - least + 1) & (F.col("texts") > 1))
+    rare = cut_lineage(rare.select("gram", "text_id", "n"))
+    a, b = rare.toDF("gram", "text_a", "n_a"), rare.toDF("gram", "text_b", "n_b")
+    alike = (F.least("n_a", "n_b") * 1000 >= F.greatest("n_a", "n_b") * per_mille) & (F.col("text_a") < F.col("text_b"))
+    return a.join(b, "gram").filter(alike).select("text_a", "text_b").distinct()
+
+
+def _bodies(df: DataFrame, id_col: str, fields: list[str], named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """text_id, body of the wanted texts, written once."""
+    wanted = named.join(wanted, "text_id", "left_semi").select("digest", "text_id")
+    return cut_lineage(_texts(df, id_col, fields).join(wanted, "digest").dropDuplicates(["text_id"]).select("text_id", "body"))
+
+
 def near_duplicates(df: DataFrame, id_col: str, fields: list[str], threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``.
 
@@ -175,12 +253,14 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], threshold: fl
     members = listed.join(named, "digest").select("text_id", label.alias("field"), "row_id").distinct()
     # one shuffle brings the copies of a text together and keeps the keys of one of them
     classes = _signed(df, id_col, fields).groupBy("digest").agg(F.min("text_id").alias("text_id"), F.first("keys", ignorenulls=True).alias("keys"))
-    index = classes.select("text_id", F.explode("keys").alias("key"))
-    a, b = index.select(F.col("text_id").alias("text_a"), "key"), index.select(F.col("text_id").alias("text_b"), "key")
-    pairs = cut_lineage(a.hint("merge").join(b.hint("merge"), "key").filter("text_a < text_b").select("text_a", "text_b").distinct())
-    wanted = pairs.select(F.col("text_a").alias("text_id")).union(pairs.select("text_b")).distinct()
-    wanted = named.join(wanted, "text_id", "left_semi").select("digest", "text_id")
-    bodies = cut_lineage(_texts(df, id_col, fields).join(wanted, "digest").dropDuplicates(["text_id"]).select("text_id", "body"))
+    partitions = max(df.sparkSession.sparkContext.defaultParallelism, -(-listed.count() * SEGMENTS * SEGMENT // PARTITION_ROWS))
+    index = classes.select(F.explode("keys").alias("key"), "text_id").repartition(partitions, "key").sortWithinPartitions("key", "text_id")
+    found = cut_lineage(_paired(index).distinct())
+    pairs, hot = found.filter("text_b is not null"), found.filter("text_b is null").select(F.col("text_a").alias("text_id"))
+    ends = pairs.select(F.col("text_a").alias("text_id")).union(pairs.select("text_b"))
+    bodies = _bodies(df, id_col, fields, named, ends.union(hot).distinct())
+    if not hot.isEmpty():
+        pairs = pairs.union(_pairs_of_hot(bodies.join(hot, "text_id", "left_semi"), round(threshold * 1000))).distinct()
     both = pairs.join(bodies.select(F.col("text_id").alias("text_b"), F.col("body").alias("body_b")), "text_b").join(
         bodies.select(F.col("text_id").alias("text_a"), F.col("body").alias("body_a")), "text_a"
     )
@@ -214,3 +294,9 @@ def near_duplicate_classes(df: DataFrame, id_col: str, fields: list[str], thresh
     copies = members.groupBy("text_id", "field").agg(F.count("*").alias("copies"))
     joined = members.join(copies, ["text_id", "field"]).join(degree, "text_id", "left")
     return joined.select("field", "row_id", F.col("text_id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def near_duplicate_links(df: DataFrame, id_col: str, fields: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """class_a < class_b, alike: the pairs of different texts, by the ids that ``near_duplicate_classes`` gives their copies."""
+    _, links = near_duplicates(df, id_col, fields, threshold)
+    return links.select(F.col("text_a").alias("class_a"), F.col("text_b").alias("class_b"), F.round("alike", 6).alias("alike"))

@@ -8,7 +8,7 @@ from ..sources.tables import table, text_rows
 from .garble import garbled_ids, repair_encoding
 from .lookalike import consistent_spelling, misspelled_ids
 from .mixture import mixture, shard_report, shares_reached
-from .neardup import near_duplicate_classes, near_duplicate_pairs
+from .neardup import near_duplicate_classes, near_duplicate_links, near_duplicate_pairs
 from .personal import masked_data, personal_data
 from .scans import scanned_noise, scanned_text
 from .subjects import document_subjects
@@ -31,6 +31,11 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_results(spark, sf_dir, *TEXT_FIELDS), "result_id", TEXT_FIELDS)
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different texts nearly the same, by their classes, with their alikeness."""
+    return near_duplicate_links(_results(spark, sf_dir, *TEXT_FIELDS), "result_id", TEXT_FIELDS)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results spelled with characters other than the ordinary ones."""
     return misspelled_ids(_results(spark, sf_dir, "structured_text"), "result_id", "structured_text")
@@ -113,6 +118,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p1_links": p1_links,
     "p2_found": p2_found,
     "p2_spelling": p2_spelling,
     "p3_found": p3_found,
@@ -139,7 +145,7 @@ _SQUEEZED = f"""r AS (SELECT result_id, any_value(structured_text) AS a, any_val
     g AS (SELECT DISTINCT class_id, substr(t, CAST(i AS INTEGER), 5) AS gram FROM (SELECT class_id, t, unnest(range(1, length(t) - 3)) AS i FROM x)),
     n AS (SELECT class_id, count(*) AS n FROM g GROUP BY 1),
     c AS (SELECT p.class_id AS a, q.class_id AS b, count(*) AS c FROM g p JOIN g q ON p.gram = q.gram AND p.class_id < q.class_id GROUP BY 1, 2),
-    links AS (SELECT a, b FROM c JOIN n na ON na.class_id = a JOIN n nb ON nb.class_id = b WHERE c * 10 >= 7 * (na.n + nb.n - c))"""
+    links AS (SELECT a, b, c / (na.n + nb.n - c) AS alike FROM c JOIN n na ON na.class_id = a JOIN n nb ON nb.class_id = b WHERE c * 10 >= 7 * (na.n + nb.n - c))"""
 
 ORACLES: dict[str, str] = {
     "p1_found": f"""WITH {_SQUEEZED}, same AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links UNION ALL SELECT class_id, class_id FROM x)
@@ -148,4 +154,5 @@ ORACLES: dict[str, str] = {
     "p1_classes": f"""WITH {_SQUEEZED}, d AS (SELECT id, count(*) AS links FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY 1)
         SELECT CASE field WHEN 0 THEN 'structured_text' ELSE 'display_text' END AS field, result_id AS row_id, k.class_id, count(*) OVER (PARTITION BY k.class_id, field) AS copies,
             CAST(coalesce(d.links, 0) AS BIGINT) AS links FROM k LEFT JOIN d ON d.id = k.class_id""",
+    "p1_links": f"WITH {_SQUEEZED} SELECT a AS class_a, b AS class_b, round(alike, 6) AS alike FROM links",
 }

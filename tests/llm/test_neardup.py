@@ -79,3 +79,63 @@ def test_variant_keys_tolerate_one_position():
     assert same.reshape(nd.SEGMENTS, nd.SEGMENT).sum(axis=1).tolist() == [1] * nd.SEGMENTS
     other[1::nd.SEGMENT] ^= 1  # two positions: no key is left
     assert not (nd.variant_keys(sign) == nd.variant_keys(other)).any()
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_hot_keys_lose_no_link(spark, monkeypatch, seed):
+    rows = made(seed)
+    # boilerplate that far more texts share than HOT, with bodies of their own of all sizes
+    rng = random.Random(seed)
+    shared = " ".join("".join(rng.choice("abcdefgh一二三四") for _ in range(6)) for _ in range(60))
+    rows += [(1000 + i, f"{shared} " + " ".join(f"{i * 7919 + k:05d}" for k in range(i % 30)), None, "", "", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    expected = brute(rows)
+    monkeypatch.setattr(nd, "HOT", 3)
+    hot = []
+    exact = nd._pairs_of_hot
+    monkeypatch.setattr(nd, "_pairs_of_hot", lambda bodies, per_mille: hot.append(bodies.count()) or exact(bodies, per_mille))
+    got = [tuple(r) for r in nd.near_duplicate_pairs(df, "result_id", FIELDS).collect()]
+    assert hot and hot[0] > 30 and len(got) == len(set(got)) and set(got) <= expected and len(got) >= 0.99 * len(expected)
+    among = {p for p in expected if p[1] >= 1000}
+    assert among and among <= set(got)  # all of these are hot: none may be missed
+
+
+def test_hot_texts_are_joined_exactly(spark):
+    rows = [(i, "".join(r[1].split())) for i, r in enumerate(made(5)) if len("".join(r[1].split())) >= 5]
+    df = spark.createDataFrame(rows, "text_id bigint, body string")
+    candidates = {tuple(r) for r in nd._pairs_of_hot(df, 700).collect()}
+    assert {(a, b) for _, a, b in brute([(i, t, None) for i, t in rows])} <= candidates and len(candidates) < len(rows) ** 2 / 4
+    assert nd._pairs_of_hot(df.limit(0), 700).collect() == []
+
+
+def test_runs_of_keys_over_batches(spark):
+    rng = random.Random(1)
+    rows = sorted({(rng.choice([1, 2, *range(10, 400)]), t) for t in range(3000)} | {(5, t) for t in range(700)})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        index = spark.createDataFrame(rows, "key bigint, text_id bigint").coalesce(1).sortWithinPartitions("key", "text_id")
+        found = [tuple(r) for r in nd._paired(index).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    groups = {}
+    for key, text in rows:
+        groups.setdefault(key, []).append(text)
+    assert sorted(p for p in found if p[1] is not None) == sorted(p for g in groups.values() if len(g) <= nd.HOT for p in itertools.combinations(g, 2))
+    assert sorted(a for a, b in found if b is None) == groups[5] and len(groups[5]) > nd.HOT
+
+
+@pytest.mark.parametrize("alike, least", [(0.70, 0.99), (0.75, 0.995), (0.8, 0.999), (0.9, 1.0)])
+def test_recall_by_alikeness(alike, least):
+    rng = random.Random(7)
+    orders = nd.hash_orders(nd.SEGMENTS * nd.SEGMENT)
+    found = tried = 0
+    while tried < 400:
+        size = rng.randint(150, 400)
+        common = round(2 * size * alike / (1 + alike))  # of two sets of this size
+        pool = [rng.getrandbits(64) for _ in range(2 * size - common)]
+        a, b = (nd.np.array(s, dtype=nd.np.uint64) for s in (pool[:size], pool[:common] + pool[size:]))
+        keys = (nd.variant_keys(nd.signature(s, orders)) for s in (a, b))
+        found += bool((next(keys) == next(keys)).any())
+        tried += 1
+    assert found >= least * tried
