@@ -1,6 +1,7 @@
 """Personal data on cases made here, with a field trained on a small corpus made here."""
 
 import random
+import re
 
 import pytest
 
@@ -40,7 +41,7 @@ FOUND = [
     (f"身分證字號：{GOOD}", {("id_number", GOOD)}),
     (f"證號 {GOOD[0]}-{GOOD[1:]}", {("id_number", f"{GOOD[0]}-{GOOD[1:]}")}),
     (f"身分證：{GOOD[:5]}​{GOOD[5:]}", {("id_number", f"{GOOD[:5]}​{GOOD[5:]}")}),
-    ("Passport no. AB1234567 belongs to Alice Marlow.", {("id_number", "AB1234567"), ("person_name", "Alice Marlow")}),
+    ("Passport no. AB1234567 was issued to Ms. Alice Marlow.", {("id_number", "AB1234567"), ("person_name", "Alice Marlow")}),
     ("SSN 912-34-5678 was printed", {("id_number", "912-34-5678")}),
     ("健保卡號 000012345678 由王明華本人提供", {("id_number", "000012345678"), ("person_name", "王明華")}),
     ("設籍臺中市西屯區文心路二段12巷3弄45號6樓之7。", {("address", "臺中市西屯區文心路二段12巷3弄45號6樓之7")}),
@@ -117,3 +118,97 @@ def test_every_field_is_masked(spark):
     assert got["structured_text", 1001] is None and got["display_text", 1001] == ""
     snippets = {k: v for (name, k), v in got.items() if name == "finding_text"}
     assert snippets == {1: "[EMAIL]", 2: None, 4: "[ID_NUMBER]", 5: "345368553"}
+
+
+# ---- the field: what is learned, what edges add
+
+OWN = [a + b for a in "沅璟霽漾笙峤" for b in "稷芮蔚苓粲昀"]
+UNLABELLED = ("茲派{}前往現場量測。", "會議改由{}代打卡，餘照舊。", "隨函附上{}存查聯。")
+
+
+def office(rng, name, lines):
+    filler = ["流程與時程安排如下。", "文件已存檔，餘不贅述。", "毛利率較去年增加三成。", "馬拉松路線改為河濱公園。", "本季報告已送出。"]
+    return "\n".join(rng.sample(filler, 2) + [line.format(name) for line in lines])
+
+
+def labelled_corpus(rng, n=300):
+    """Texts whose detector replaced the names after labels and left the bare ones."""
+    for _ in range(n):
+        name = rng.choice("桑闕褚戚邵殷") + rng.choice(OWN)
+        lines = ["姓名：{}", rng.choice(UNLABELLED)] if rng.random() < 0.7 else [rng.choice(["申請人：{}", "立書人：{}"])]
+        text = office(rng, name, lines)
+        yield text, re.sub(f"(?<=[名人]：){name}", "《姓名》", text)
+
+
+@pytest.fixture(scope="module")
+def learned():
+    return p.train(labelled_corpus(random.Random(3)))
+
+
+def recall(model, texts):
+    finder = p.PersonalData(model)
+    right = total = 0
+    for text, name in texts:
+        places = {m.start() for m in re.finditer(name, text)}
+        total += len(places)
+        right += len(places & {a for a, b, kind in finder.find(text) if kind == "person_name" and text[a:b] == name})
+    return right / total
+
+
+def test_names_without_any_listed_label_are_found(learned):
+    rng = random.Random(5)
+    texts = [(office(rng, name, [rng.choice(UNLABELLED)]), name) for name in (rng.choice("桑闕褚戚邵殷") + rng.choice(OWN) for _ in range(200))]
+    assert recall(learned, texts) >= 0.95
+    assert recall(p.Field(), texts) < 0.2  # by cues alone they are not
+    found = [text[a:b] for text, _ in texts for a, b, _ in p.PersonalData(learned).find(text)]
+    assert sum(len(f) == 3 and f[1:] in OWN for f in found) >= 0.97 * len(found)
+
+
+def test_skip_edges_are_worth_recall_on_unseen_templates(learned):
+    rng = random.Random(6)
+    unseen = ["旋即{}，竟遲未回覆。", "幸得{}、亦未反對。"]
+    names = ["賴" + rng.choice("慧達怡") + rng.choice("珮錚綺") for _ in range(150)]  # of parts no training text has
+    texts = [(office(rng, name, ["姓名：{}", *unseen]), name) for name in names]
+    bare = p.Field(learned.weights, 0.0)
+    assert recall(learned, texts) >= 0.95 and recall(learned, texts) - recall(bare, texts) >= 0.3
+
+
+def test_similar_names_share_a_potential():
+    nodes = [p.Node(0, 3, "person_name", "邵沅霽", 4.0, ()), p.Node(20, 23, "person_name", "邵沅露", -0.4, ()), p.Node(40, 43, "person_name", "闕笙笙", -0.4, ()), p.Node(60, 65, "phone", "0", 1.0, ())]
+    p.PersonalData(p.Field({}, 3.0)).settle(nodes)
+    assert nodes[1].belief > 0 > nodes[2].belief
+
+
+def test_of_overlapping_nodes_one_holds():
+    make = lambda: [p.Node(0, 3, "person_name", "a", 5.0, ()), p.Node(2, 6, "person_name", "b", 4.9, ()), p.Node(1, 4, "phone", "c", 4.8, ()), p.Node(10, 13, "person_name", "d", 2.0, ())]
+    p.PersonalData(p.Field({}, 3.0)).settle(nodes := make())
+    assert [n.belief > 0 for n in nodes] == [True, False, False, True]
+    # a node elsewhere of equal content decides between alternatives
+    nodes = [*make(), p.Node(30, 34, "person_name", "b", 6.0, ())]
+    p.PersonalData(p.Field({}, 3.0)).settle(nodes)
+    assert [n.belief > 0 for n in nodes] == [False, True, False, True, True]
+
+
+def test_labels_from_the_displayed_form():
+    text = "姓名：邵沅霽，電話 02-2345-6789 帳號 12345678901"
+    shown = "姓名：《姓名》，電話 《市話號碼#0a1b2c3d》 帳號 《銀行帳號》"
+    assert [(text[a:b], label) for a, b, label in p.labelled_spans(text, shown)] == [("邵沅霽", "姓名"), ("02-2345-6789", "市話號碼"), ("12345678901", "銀行帳號")]
+    for other in (None, text, "", "另一份《姓名》", "姓名：《姓名》《地址》，", text + "《姓名》"):
+        assert p.labelled_spans(text, other) == []
+    spans = p.labelled_spans(text, shown)
+    node = lambda a, b, kind: p.Node(a, b, kind, "", 0.0, ())
+    at = text.index
+    assert p._label(node(3, 6, "person_name"), spans, int) == 1 and p._label(node(at("02"), at("02") + 12, "phone"), spans, int) == 1
+    assert p._label(node(at("1234567890"), len(text), "phone"), spans, int) == 0 and p._label(node(0, 2, "person_name"), spans, int) is None
+
+
+def test_labels_outweigh_cues():
+    rng = random.Random(2)
+    rows = []
+    for _ in range(200):  # what follows this word is a card, whatever it looks like
+        number = f"09{rng.randrange(10**8):08d}"
+        rows.append((f"會員代碼 {number} 已建檔", "會員代碼 《信用卡號》 已建檔"))
+        rows.append((f"手機 {number}", "手機 《手機號碼》"))
+    finder = p.PersonalData(p.train(rows))
+    assert finder.find("會員代碼 0911222333 已建檔") == [] and len(finder.find("手機 0911222333")) == 1
+    assert len(p.PersonalData(p.Field()).find("會員代碼 0911222333 已建檔")) == 1
