@@ -135,7 +135,7 @@ def labelled_corpus(rng, n=300):
     """Texts whose detector replaced the names after labels and left the bare ones."""
     for _ in range(n):
         name = rng.choice("桑闕褚戚邵殷") + rng.choice(OWN)
-        lines = ["姓名：{}", rng.choice(UNLABELLED)] if rng.random() < 0.7 else [rng.choice(["申請人：{}", "立書人：{}"])]
+        lines = ["姓名：{}", rng.choice(UNLABELLED)] if rng.random() < 0.7 else ["申請人：{}", "立書人：{}"]
         text = office(rng, name, lines)
         yield text, re.sub(f"(?<=[名人]：){name}", "《姓名》", text)
 
