@@ -41,13 +41,13 @@ from .arrow import broadcast, map_rows
 #: Texts to train on.
 SAMPLE_TEXTS = 1500
 #: A node whose cues alone are so certain serves as an example for, or against.
-DECISIVE_FOR, DECISIVE_AGAINST = 2.5, -4.0
+DECISIVE_FOR, DECISIVE_AGAINST = 2.4, -4.0
 #: The most and least that learned weights may add to a node's potential.
 MOST_LEARNED, LEAST_LEARNED = 6.0, -6.0
 #: A belief so sure labels a node for the second training; how strongly weights are held to zero; passes.
-SURE, HELD, PASSES = 3.0, 0.01, 4
+SURE, HELD, PASSES = 3.0, 0.01, 6
 #: Weight, in the first training, of a span that could be a name but has parts no known name has, as an example against.
-DOUBTED = 0.5
+DOUBTED = 1.0
 #: Potential of neighbours both being personal data, and the most that of equal nodes may reach.
 CHAIN, MOST_SKIP = 0.3, 4.0
 #: Share of the skip potential between similar nodes.
@@ -500,13 +500,14 @@ def train(texts: Iterable[str | tuple[str, str | None]]) -> Field:
     for nodes in known:
         groups: dict[tuple[str, str], list[bool]] = defaultdict(list)
         for n, label in nodes:
+            if label is None and n.kind == "person_name" and n.key in names:
+                examples.append((n, 1, 1.0))
+                continue
             if label is None and (n.cues >= DECISIVE_FOR or n.cues <= DECISIVE_AGAINST):
                 label = int(n.cues > 0)
             if label is not None:
                 examples.append((n, label, 1.0))
                 groups[n.kind, n.key].append(bool(label))
-            elif n.kind == "person_name" and n.key in names:
-                examples.append((n, 1, 1.0))
             elif n.kind == "person_name" and not _likely(n, parts):
                 examples.append((n, 0, DOUBTED))
         for said in groups.values():
