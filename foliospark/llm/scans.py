@@ -6,7 +6,9 @@ against a lexicon of the whole corpus: words in Latin script, and windows of thr
 every ideograph that has a double. A symmetric-delete index (each entry under every form with one
 character left out) yields the entries one edit away; a weighted edit distance, cheap for pairs that
 scanners confuse, keeps the likely ones, and their frequency and that of the word pairs around
-decide.
+decide. For ideographs the entries are the windows, and the form that both sides meet under is the
+window with its ideograph left out; only pairs that scanners confuse are candidates. Digits read as letters
+inside a number need no lexicon.
 
 The lexicon holds every entry counted ``LEAST_COUNT`` times and stays a distributed table. The scanned
 texts say which words (between their neighbours) and ideographs (with two characters on either side)
@@ -23,6 +25,7 @@ twice in the text; redelivered rows give the same noise and count once.
 from __future__ import annotations
 
 import difflib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -128,12 +131,12 @@ def layout(text: str) -> Layout:
                 numbered.add(i)
             if 4 <= len(bare) <= 90 and not _NO_HEADER.match(bare):
                 groups[_canon(bare)].append(i)
-    edges = [(key, members) for key, members in groups.items() if any(i in at_edge for i in members)]
-    for a, (key_a, members_a) in enumerate(edges):  # variants misread beyond the known pairs; only page edges are compared
-        for key_b, members_b in edges[a + 1 : a + 13]:
-            if members_a and members_b and abs(len(key_a) - len(key_b)) <= 2 and len(key_a) > 7 and difflib.SequenceMatcher(None, key_a, key_b).ratio() >= 0.9:
-                members_a += members_b
-                members_b.clear()
+    edges = [(key, members) for key, members in groups.items() if len(key) > 7 and any(i in at_edge for i in members)]
+    for a, b in _variants([key for key, _ in edges]):  # misread beyond the known pairs; only page edges are compared
+        (key_a, members_a), (key_b, members_b) = edges[a], edges[b]
+        if members_a and members_b and difflib.SequenceMatcher(None, key_a, key_b).ratio() >= 0.9:
+            members_a += members_b
+            members_b.clear()
     for members in groups.values():
         at = [i for i in members if i in at_edge] if several else []
         if len({page_of[i] for i in at}) >= 2:
@@ -151,6 +154,29 @@ def layout(text: str) -> Layout:
     return out
 
 
+def _variants(keys: list[str]) -> Iterator[tuple[int, int]]:
+    """Pairs a < b of keys that may be at least 0.9 alike, from their common runs of three characters.
+
+    Of keys with n and m characters at least 0.45 * (n + m) match in order. Between two matching blocks some
+    character of either key does not match, which bounds the blocks; each loses two runs. So many runs the
+    keys have in common, of which equal ones count as often as they occur.
+    """
+    holders: dict[str, list[int]] = defaultdict(list)
+    for b, key in enumerate(keys):
+        shared: Counter = Counter()
+        runs = Counter(key[i : i + 3] for i in range(len(key) - 2))
+        most = max(runs.values(), default=1)
+        for run in runs:
+            shared.update(holders[run])
+            holders[run].append(b)
+        for a, common in sorted(shared.items()):
+            n, m = len(keys[a]), len(key)
+            matching = math.ceil(0.45 * (n + m) - 1e-9)
+            blocks = n + m - 2 * matching + 1
+            if abs(n - m) <= 2 and common * most >= matching - 2 * blocks:
+                yield a, b
+
+
 def word_cost(read: str, meant: str, most: float = 2.0) -> float:
     """Weighted edit distance from what was read to what was meant."""
     n, m = len(read), len(meant)
@@ -173,16 +199,25 @@ def word_cost(read: str, meant: str, most: float = 2.0) -> float:
     return table[n][m]
 
 
+#: Letters of a word from which its ends stand for its deletion forms, and of such an end.
+LONG_WORD, END = 24, 11
+
+
 def _deletes(word: str) -> Iterator[str]:
-    yield word
-    for i in range(len(word)):
-        yield word[:i] + word[i + 1 :]
+    """The word and it with one character left out; of a long word its two ends, of which one edit leaves one whole."""
+    if len(word) >= LONG_WORD:
+        yield "<" + word[:END]
+        yield ">" + word[-END:]
+    if len(word) <= LONG_WORD + 2:
+        yield word
+        for i in range(len(word)):
+            yield word[:i] + word[i + 1 :]
 
 
 def _forms(read: str) -> set[str]:
     """What was read, and it with one confused pair put right, under every form with one character left out."""
     forms = {read}
-    for a, b in CONFUSED_LETTERS:
+    for a, b in CONFUSED_LETTERS if len(read) <= LONG_WORD + 2 else ():
         at = read.find(a)
         while at >= 0:
             forms.add(read[:at] + b + read[at + len(a) :])
@@ -258,7 +293,7 @@ def count(df: DataFrame, column: str, type_col: str) -> DataFrame:
             if not text:
                 continue
             found = _PLAIN_WORD.findall(_EMAIL_LIKE.sub(" ", text).lower())
-            words.update(w for w in found if len(w) <= 24)
+            words.update(found)
             pairs.update(f"{a} {b}" for a, b in zip(found, found[1:]))
             flat = _normal(_continuous(text))
             for m in _DOUBTFUL.finditer(flat):

@@ -1,5 +1,6 @@
 """Spelling, encoding and scans on small corpora made here."""
 
+import difflib
 import random
 
 import pytest
@@ -251,3 +252,42 @@ def test_answers_do_not_hang_on_the_bitmap(spark, monkeypatch, lexicon_and_rows)
     expected = {tuple(r) for r in scans.scanned_noise(df, "result_id", "structured_text", "doc_type").collect()}
     monkeypatch.setattr(scans, "bitmap", lambda answers: b"\xff" * (scans.BITS // 8))
     assert {tuple(r) for r in scans.scanned_noise(df, "result_id", "structured_text", "doc_type").collect()} == expected
+
+
+def test_header_variants_far_apart(spark):
+    """A header misread beyond the known pairs, with many other lines at page edges before it."""
+    head = "ANNUAL INSPECTION OF THE NORTHERN DEPOT"
+    rng = random.Random(9)
+    line = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(5))
+    top = {1: head, 40: "ANNUAL INSPEKTION QF THE NORTHERN DEPQT"}
+    pages = [f"## 第 {k} 頁\n\n{top.get(k) or line()}\n{line()}\n{line()}" for k in range(1, 41)]
+    page = scans.layout("\n\n".join(pages))
+    assert page.header and [line for line, kind in zip(page.lines, page.kinds) if kind == "header"] == [head, "ANNUAL INSPEKTION QF THE NORTHERN DEPQT"]
+
+
+def test_variants_miss_none():
+    rng = random.Random(4)
+    keys = []
+    for _ in range(60):
+        base = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(8, 40)))
+        keys.append(base)
+        for _ in range(2):
+            chars = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 10))):
+                k = rng.randrange(len(chars))
+                chars[k : k + 1] = rng.choice([["z"], [], [chars[k], "y"]])
+            keys.append("".join(chars))
+    alike = {(a, b) for b in range(len(keys)) for a in range(b) if abs(len(keys[a]) - len(keys[b])) <= 2 and difflib.SequenceMatcher(None, keys[a], keys[b]).ratio() >= 0.9}
+    found = set(scans._variants(keys))
+    assert len(alike) > 60 and alike <= found and len(found) < len(keys) ** 2 / 8
+
+
+def test_long_words_are_repaired(spark):
+    word = "electroencephalographically"
+    assert set(scans._deletes(word)) == {"<" + word[:11], ">" + word[-11:]} and len(list(scans._deletes("a" * 6000))) == 2
+    assert set(scans._forms("x" + word)) & set(scans._deletes(word)) and set(scans._forms(word[:-1])) & set(scans._deletes(word))
+    texts = [f"we measured it {word} once"] * 30 + [f"we measured it {word.replace('graph', 'grapb')} once", f"we measured it {word} once"]
+    df = spark.createDataFrame([(i, t, "image") for i, t in enumerate(texts)], "result_id bigint, structured_text string, doc_type string")
+    assert [tuple(r) for r in scans.scanned_noise(df, "result_id", "structured_text", "doc_type").collect()] == [(30, "misread")]
+    fixed = scans.scanned_text(df, "result_id", "structured_text", "doc_type").filter("result_id = 30").first()["repaired"]
+    assert fixed == texts[0]
