@@ -69,3 +69,12 @@ def test_positions_of_long_runs_stay_below_the_rank(monkeypatch):
     right = merger.merge_one(piece)
     monkeypatch.setattr(tok, "_SHIFT", 10)  # as if the run were longer than the positions that fit
     assert merger.merge_one(piece) == right
+
+
+def test_a_piece_of_two_mebibytes():
+    rng = random.Random(1)
+    rare = lambda n: "".join(chr(rng.randrange(0xF0000, 0x10F000)) for _ in range(n))
+    text = rare(270_000) + "".join(rng.choices("!?=-*#/", k=6000)) + rare(260_000) + "".join(rng.choices("!?=-*#/", k=6000))
+    assert len(text.encode()) > 1 << 21 and tok.Encoder(VOCAB).cut(text) == [text]
+    ids = tok.Merger(VOCAB).merge_one(text.encode())
+    assert ids == PLAIN.encode_ordinary(text) and PLAIN.decode(ids) == text
