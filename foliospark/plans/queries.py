@@ -25,7 +25,7 @@ from .registry import COMPANY_SQL, CARD_SQL, MOBILE_SQL, ORACLES, QUERIES, RESUL
     WITH c AS (SELECT doc_id, {clean_sql("(text || '　１２３—４５  ' || chr(10) || chr(10) || chr(10) || chr(10) || '末')")} AS t FROM documents)
     SELECT doc_id, md5(t) AS cleaned, CAST(coalesce(length(t), 0) AS BIGINT) AS n_chars FROM c""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = text_rows(spark, sf_dir, "documents", "doc_id", "text")
     cleaned = X.clean_text(F.concat("text", F.lit("　１２３—４５  \n\n\n\n末")))
     return docs.select("doc_id", cleaned.alias("t")).select("doc_id", F.md5("t").alias("cleaned"), F.coalesce(F.length("t"), F.lit(0)).cast("bigint").alias("n_chars"))
 
@@ -338,13 +338,13 @@ NGRAM_SQL = f"""
 @query(f"WITH {NGRAM_SQL} SELECT pair_id, a, b, score FROM scored")
 def ngram_by_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relational form, for texts that occur in very many pairs."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = text_rows(spark, sf_dir, "documents", "doc_id", "text")
     return compare.ngram_similarity_by_gram(docs, _neighbours(spark, sf_dir))
 
 
 @query(f"WITH {NGRAM_SQL} SELECT pair_id, a, b, score FROM scored")
 def ngram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = text_rows(spark, sf_dir, "documents", "doc_id", "text")
     return compare.ngram_similarity(docs, _neighbours(spark, sf_dir))
 
 
@@ -417,7 +417,7 @@ _BODY = strip_sql("text")
     c AS (SELECT doc_id, t, unnest(range(0, greatest(length(t), 1), 400)) AS s FROM b)
     SELECT doc_id, CAST(s // 400 AS BIGINT) AS chunk_no, md5(substr(t, CAST(s AS INTEGER) + 1, 400)) AS chunk, CAST(length(substr(t, CAST(s AS INTEGER) + 1, 400)) AS BIGINT) AS n_chars FROM c""")
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("chunk_no", "c"))
+    pieces = text_rows(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null").select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("chunk_no", "c"))
     return pieces.select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.md5("c").alias("chunk"), F.length("c").cast("bigint").alias("n_chars"))
 
 
