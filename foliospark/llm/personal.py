@@ -266,6 +266,8 @@ def _name_nodes(line: str) -> list[Node]:
         score += 2.2 if not line[:a].strip() and re.fullmatch("[,. 　]*", line[b:]) else 0.0
         if first in ORGANISATION or last in ORGANISATION:
             score -= 12.0
+        elif re.match("[-‐¬\u00ad] *$", right):  # half a word, broken at the end of a line
+            score -= 8.0
         elif re.match(r" (?:Ltd|Inc|Group|Services|Partners|Works|City|Road|Rd|St|Lane|Avenue|Foundation)\b", right):
             score -= 8.0
         before, after = _LAST_WORD.search(left), _NEXT_WORD.match(right)
