@@ -55,6 +55,7 @@ def test_empty_mixture(spark):
     docs, targets = spark.createDataFrame([], D_SCHEMA), spark.createDataFrame(TARGETS, T_SCHEMA)
     assert mx.mixture(docs, targets).collect() == []
     assert {r["reached_share"] for r in mx.shares_reached(docs, targets).collect()} == {0.0}
+    assert mx.shard_report(docs, targets).collect() == []
     assert mx.mixture(spark.createDataFrame(documents(9, 2), D_SCHEMA), targets.limit(0)).collect() == []
 
 

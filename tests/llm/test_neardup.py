@@ -61,6 +61,7 @@ def test_edge_cases(spark):
     classes = {(r["field"], r["row_id"]): (r["copies"], r["links"]) for r in nd.near_duplicate_classes(df, "result_id", FIELDS).collect()}
     assert classes["structured_text", 4] == (2, 0) and ("structured_text", 1) not in classes
     assert nd.near_duplicate_pairs(df.limit(0), "result_id", FIELDS).collect() == []
+    assert nd.near_duplicate_links(df, "result_id", FIELDS).collect() == nd.near_duplicate_links(df.limit(0), "result_id", FIELDS).collect() == []
 
 
 def test_copies_cost_one_text(spark):
