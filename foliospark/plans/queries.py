@@ -14,7 +14,8 @@ from ..operators import audit, batch, compare, pii, routing, structure
 from ..sources.extract import extract, read_text
 from ..sources.tables import table, text_rows
 from ..streaming.pipeline import status_windows
-from . import file_queries, rule_queries  # noqa: F401  register their queries
+from . import rule_queries  # noqa: F401  registers its queries
+from .file_queries import scratch
 from .pipeline import results_of, route
 from .registry import COMPANY_SQL, CARD_SQL, MOBILE_SQL, ORACLES, QUERIES, RESULTS, TW_ID_SQL, B, clean_sql, company_ok_sql, id_ok_sql, id_sum_sql, luhn_ok_sql, once, query, results, strip_sql
 
@@ -567,6 +568,23 @@ def results_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hours.withColumn("avg_sec", F.round("avg_sec", 6))
 
 
+@query(f"""SELECT date_trunc('hour', processed_at) AS window_start, status, CAST(count(*) AS BIGINT) AS results, round(avg(duration_sec), 6) AS avg_sec FROM doc_results WHERE processed_at IS NOT NULL GROUP BY 1, 2""")
+def stream_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream over the table (a pattern, since it may be a file or a folder of them): windows kept up to date; every delivery counts."""
+    columns = table(spark, sf_dir, "doc_results").select("result_id", "processed_at", "status", "duration_sec")
+    stream = spark.readStream.schema(columns.schema).parquet(f"{sf_dir}/doc_results.[p]arquet").filter("processed_at is not null")
+    stream = stream.withColumn("processed_at", F.col("processed_at").cast("timestamp"))  # watermarks ask for it
+    hours = status_windows(stream, late="3650 days")
+    out = scratch(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/hours")
+
+    run = hours.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{out}/hours").withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "avg_sec": F.round("avg_sec", 6)})
+
+
 # ---- audit ----------------------------------------------------------------------------------------
 
 _LINES = "(SELECT log_name, line_no, any_value(raw) AS raw FROM audit_lines GROUP BY 1, 2)"

@@ -34,10 +34,10 @@ def deduplicated(stream: DataFrame, key: str, event_time: str, late: str) -> Dat
     return stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark([key])
 
 
-def status_windows(results: DataFrame, event_time: str = "processed_at", late: str = "1 day", window: str = "1 hour") -> DataFrame:
-    """Results by window and status, for results no later than the watermark."""
+def status_windows(results: DataFrame, event_time: str = "processed_at", late: str | None = "1 day", window: str = "1 hour") -> DataFrame:
+    """Results by window and status, for results no later than the watermark; without ``late`` the one that ``results`` has."""
     return (
-        results.withWatermark(event_time, late)
+        (results.withWatermark(event_time, late) if late else results)
         .groupBy(F.window(event_time, window), "status")
         .agg(F.count("*").alias("results"), F.avg("duration_sec").alias("avg_sec"))
         .select(F.col("window.start").alias("window_start"), "status", "results", "avg_sec")

@@ -1,6 +1,7 @@
 """Routing, structure, comparison, batches, audit."""
 
 import difflib
+import importlib.machinery
 import io
 import json
 import math
@@ -318,3 +319,75 @@ def test_images():
     assert images.to_gray(np.dstack([page] * 3)).shape == page.shape and images.median3(page).shape == page.shape
     noisy = np.clip(page + np.random.default_rng(1).normal(0, 5, page.shape), 0, 255).astype(np.uint8)
     assert np.abs(images.denoise(noisy).astype(int) - page).mean() < np.abs(noisy.astype(int) - page).mean()
+
+
+class Page:
+    def __init__(self, text, tables=()):
+        self.text, self.tables = text, tables
+
+    def get_text(self):
+        return self.text
+
+    def find_tables(self):
+        if self.tables is None:
+            raise RuntimeError("no tables")
+        return [type("T", (), {"extract": lambda self, t=t: t})() for t in self.tables]
+
+    def get_pixmap(self, dpi, colorspace):
+        return type("P", (), {"samples": bytes([255] * 400), "height": 20, "width": 20})()
+
+
+@pytest.fixture
+def pdf(monkeypatch):
+    """A stand-in for the PDF library: what is 'opened' is a list of pages."""
+    import sys
+    import types
+
+    held = types.SimpleNamespace(pages=[], opened=0, closed=0, locked=False)
+
+    class Document:
+        needs_pass = property(lambda self: held.locked)
+        __len__ = lambda self: len(held.pages)
+        __getitem__ = lambda self, i: held.pages[i]
+
+        def close(self):
+            held.closed += 1
+
+    def open_(stream, filetype):
+        if stream == b"broken":
+            raise ValueError("no PDF")
+        held.opened += 1
+        return Document()
+
+    module = types.ModuleType("fitz")
+    module.open, module.__spec__ = open_, importlib.machinery.ModuleSpec("fitz", None)
+    monkeypatch.setitem(sys.modules, "fitz", module)
+    return held
+
+
+PDF_SETTINGS = {
+    "limits": {"max_retries": 0, "retry_backoff_sec": 0.0, "max_pdf_pages": 25, "pdf_chunk_pages": 10},
+    "ocr": {"engine": "x", "dpi": 100, "min_text_len_per_page": 5, "digital_coverage": 0.8, "scanned_coverage": 0.1},
+}
+
+
+def test_pdf_kinds_and_pages(pdf, monkeypatch):
+    engine = type("E", (), {"read": lambda self, image: "recognised"})()
+    monkeypatch.setattr(ex.OcrEngine, "get", classmethod(lambda cls, settings: engine))
+    row = {"file": "a.pdf", "file_name": "a.pdf", "ord": 1, "content": b"x", "doc_type": "pdf_digital", "error_code": None, "error": None}
+    pdf.pages = [Page(f" page {i} ", None if i == 3 else [[["a", "b"]]]) for i in range(30)]
+    read = ex.route_and_read(row, PDF_SETTINGS, None)
+    pages = read["raw"]["pages"]
+    assert (read["doc_type"], len(pages), pages[0], pages[3]["tables"]) == ("pdf_digital", 25, {"page": 1, "text": "page 0", "tables": [[["a", "b"]]], "ocr": None}, [])
+    assert pdf.opened == 1 + 3 and pdf.closed == 2  # once to look, then once for each ten pages
+    pdf.pages = [Page("")] * 10
+    read = ex.route_and_read(row, PDF_SETTINGS, None)
+    assert read["doc_type"] == "pdf_scanned" and {(p["text"], p["ocr"]) for p in read["raw"]["pages"]} == {("recognised", True)}
+    pdf.pages = [Page("long enough"), Page("")]
+    read = ex.route_and_read(row, PDF_SETTINGS, None)
+    assert read["doc_type"] == "pdf_mixed" and [(p["text"], p["ocr"]) for p in read["raw"]["pages"]] == [("long enough", False), ("recognised", True)]
+    pdf.pages = []
+    assert ex.route_and_read(row, PDF_SETTINGS, None)["error_code"] == "corrupted"
+    assert ex.route_and_read(row | {"content": b"broken"}, PDF_SETTINGS, None)["error_code"] == "corrupted"
+    pdf.locked = True
+    assert ex.route_and_read(row, PDF_SETTINGS, None)["error"] == MESSAGES["password"]
