@@ -88,16 +88,16 @@ def signature(hashes: np.ndarray, orders: tuple[np.ndarray, np.ndarray]) -> np.n
     return best
 
 
-def variant_keys(sign: np.ndarray, segments: int = SEGMENTS, segment: int = SEGMENT) -> np.ndarray:
-    """A 64-bit key for each segment and wildcard position."""
-    parts = sign.reshape(segments, segment).astype(np.uint64)
+def variant_keys(signs: np.ndarray, segments: int = SEGMENTS, segment: int = SEGMENT) -> np.ndarray:
+    """A 64-bit key for each segment and wildcard position of a signature, or of each row of signatures."""
+    parts = signs.reshape(-1, segments, segment).astype(np.uint64)
     mixed = (parts + (np.arange(segment, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * _M1
     mixed = (mixed ^ (mixed >> np.uint64(31))) * _M2
     mixed ^= mixed >> np.uint64(33)
-    keys = mixed.sum(axis=1, dtype=np.uint64)[:, None] - mixed  # all positions but the wildcard
+    keys = mixed.sum(axis=2, dtype=np.uint64)[:, :, None] - mixed  # all positions but the wildcard
     tag = np.arange(segments * segment, dtype=np.uint64).reshape(segments, segment) * np.uint64(0x632BE59BD9B4E019)
     keys = (keys ^ tag) * _M1
-    return (keys ^ (keys >> np.uint64(32))).reshape(-1)
+    return (keys ^ (keys >> np.uint64(32))).reshape(*signs.shape[:-1], segments * segment)
 
 
 def _digest(squeezed: str) -> bytes:
@@ -121,7 +121,7 @@ def _fields(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 
 
 def _signed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """As ``_fields``, with the variant keys where the text occurs first in its partition."""
+    """As ``_fields``, with the signature's bytes where the text occurs first in its partition."""
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         orders = hash_orders(SEGMENTS * SEGMENT)
@@ -131,13 +131,28 @@ def _signed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
                 continue
             for f, text in enumerate(texts):
                 if text and len(squeezed := squeeze(text)) >= RUN:
-                    digest, keys = _digest(squeezed), None
+                    digest, sign = _digest(squeezed), None
                     if digest not in seen:
                         seen.add(digest)
-                        keys = variant_keys(signature(run_hashes(squeezed), orders)).view(np.int64).tolist()
-                    yield digest, row_id * len(fields) + f, keys
+                        sign = signature(run_hashes(squeezed), orders).tobytes()
+                    yield digest, row_id * len(fields) + f, sign
 
-    return map_rows(df.select(id_col, *fields), run, "digest binary, text_id bigint, keys array<bigint>", flush=2048)
+    return map_rows(df.select(id_col, *fields), run, "digest binary, text_id bigint, sign binary", flush=2048)
+
+
+def _indexed(classes: DataFrame) -> DataFrame:
+    """key, text_id: every variant key of every signature, made from whole batches of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                signs = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint32).reshape(part.num_rows, -1)
+                keys = variant_keys(signs).view(np.int64)
+                ids = np.repeat(part.column(0).to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(ids)], names=["key", "text_id"])
+
+    return classes.select("text_id", "sign").mapInArrow(run, "key bigint, text_id bigint")
 
 
 def _texts(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
@@ -251,10 +266,10 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], threshold: fl
     named = listed.groupBy("digest").agg(F.min(number).alias("text_id"))
     label = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field") + 1)
     members = listed.join(named, "digest").select("text_id", label.alias("field"), "row_id").distinct()
-    # one shuffle brings the copies of a text together and keeps the keys of one of them
-    classes = _signed(df, id_col, fields).groupBy("digest").agg(F.min("text_id").alias("text_id"), F.first("keys", ignorenulls=True).alias("keys"))
+    # one shuffle brings the copies of a text together and keeps the signature of one of them
+    classes = _signed(df, id_col, fields).groupBy("digest").agg(F.min("text_id").alias("text_id"), F.first("sign", ignorenulls=True).alias("sign"))
     partitions = max(df.sparkSession.sparkContext.defaultParallelism, -(-listed.count() * SEGMENTS * SEGMENT // PARTITION_ROWS))
-    index = classes.select(F.explode("keys").alias("key"), "text_id").repartition(partitions, "key").sortWithinPartitions("key", "text_id")
+    index = _indexed(classes).repartition(partitions, "key").sortWithinPartitions("key", "text_id")
     found = cut_lineage(_paired(index).distinct())
     pairs, hot = found.filter("text_b is not null"), found.filter("text_b is null").select(F.col("text_a").alias("text_id"))
     ends = pairs.select(F.col("text_a").alias("text_id")).union(pairs.select("text_b"))
