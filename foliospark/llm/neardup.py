@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_unreachable
 from .arrow import map_rows
 
 RUN = 5
@@ -261,6 +261,7 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], threshold: fl
     equal texts. ``links``: text_a < text_b, alike; one row per pair of different texts at least
     ``threshold`` alike.
     """
+    drop_unreachable(df.sparkSession)
     number = F.col("row_id") * len(fields) + F.col("field")
     listed = cut_lineage(_fields(df, id_col, fields))
     named = listed.groupBy("digest").agg(F.min(number).alias("text_id"))
@@ -271,6 +272,8 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], threshold: fl
     partitions = max(df.sparkSession.sparkContext.defaultParallelism, -(-listed.count() * SEGMENTS * SEGMENT // PARTITION_ROWS))
     index = _indexed(classes).repartition(partitions, "key").sortWithinPartitions("key", "text_id")
     found = cut_lineage(_paired(index).distinct())
+    del classes, index
+    drop_unreachable(df.sparkSession)  # the index is much larger than what is left
     pairs, hot = found.filter("text_b is not null"), found.filter("text_b is null").select(F.col("text_a").alias("text_id"))
     ends = pairs.select(F.col("text_a").alias("text_id")).union(pairs.select("text_b"))
     bodies = _bodies(df, id_col, fields, named, ends.union(hot).distinct())
