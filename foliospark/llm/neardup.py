@@ -121,21 +121,23 @@ def _fields(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 
 
 def _signed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """As ``_fields``, with the signature's bytes where the text occurs first in its partition."""
+    """A row for each different text of a partition: digest, the least number of its record fields, its signature's bytes."""
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         orders = hash_orders(SEGMENTS * SEGMENT)
-        seen: set[bytes] = set()
+        seen: dict[bytes, list] = {}
         for row_id, *texts in rows:
             if row_id is None:
                 continue
             for f, text in enumerate(texts):
                 if text and len(squeezed := squeeze(text)) >= RUN:
-                    digest, sign = _digest(squeezed), None
-                    if digest not in seen:
-                        seen.add(digest)
-                        sign = signature(run_hashes(squeezed), orders).tobytes()
-                    yield digest, row_id * len(fields) + f, sign
+                    digest, number = _digest(squeezed), row_id * len(fields) + f
+                    if (known := seen.get(digest)) is None:
+                        seen[digest] = [number, signature(run_hashes(squeezed), orders).tobytes()]
+                    elif number < known[0]:
+                        known[0] = number
+        for digest, (number, sign) in seen.items():
+            yield digest, number, sign
 
     return map_rows(df.select(id_col, *fields), run, "digest binary, text_id bigint, sign binary", flush=2048)
 
@@ -267,12 +269,13 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], threshold: fl
     named = listed.groupBy("digest").agg(F.min(number).alias("text_id"))
     label = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field") + 1)
     members = listed.join(named, "digest").select("text_id", label.alias("field"), "row_id").distinct()
-    # one shuffle brings the copies of a text together and keeps the signature of one of them
-    classes = _signed(df, id_col, fields).groupBy("digest").agg(F.min("text_id").alias("text_id"), F.first("sign", ignorenulls=True).alias("sign"))
     partitions = max(df.sparkSession.sparkContext.defaultParallelism, -(-listed.count() * SEGMENTS * SEGMENT // PARTITION_ROWS))
+    # one shuffle brings what the partitions hold of a text together; it is spread for the index, which is far larger
+    signed = _signed(df, id_col, fields).repartition(partitions, "digest")
+    classes = signed.groupBy("digest").agg(F.min("text_id").alias("text_id"), F.first("sign").alias("sign"))
     index = _indexed(classes).repartition(partitions, "key").sortWithinPartitions("key", "text_id")
     found = cut_lineage(_paired(index).distinct())
-    del classes, index
+    del signed, classes, index
     drop_unreachable(df.sparkSession)  # the index is much larger than what is left
     pairs, hot = found.filter("text_b is not null"), found.filter("text_b is null").select(F.col("text_a").alias("text_id"))
     ends = pairs.select(F.col("text_a").alias("text_id")).union(pairs.select("text_b"))
