@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import zipfile
@@ -46,16 +45,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def drop_unreachable(spark: SparkSession) -> None:
-    """Let the cluster delete the shuffles and checkpoints that nothing refers to any more.
-
-    Spark deletes them when its driver finds them unreachable, which it only looks for when its own memory runs
-    short, or twice an hour. Before a step that writes much, after one whose lineage was cut, it is asked to look.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _shipped: set[str] = set()
 
 
