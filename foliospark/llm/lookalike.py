@@ -212,13 +212,17 @@ def vocabulary_forms(df: DataFrame, column: str) -> DataFrame:
 
 def _compounds(unknown: DataFrame, words: DataFrame) -> DataFrame:
     """token, place, form of the forms made of two parts of the vocabulary; only parts that are asked about are counted."""
+    unknown = cut_lineage(unknown)
+    longest = unknown.agg(F.max(F.length("form"))).first()[0]  # no longer part can be asked about
+    if longest is None:
+        return unknown
     form = F.lower("form")
     cuts = F.sequence(F.lit(2), F.length("form") - 2)
     split = unknown.filter(F.length("form") >= 4).select("token", "place", "form", F.explode(cuts).alias("cut"))
     split = split.select("token", "place", "form", F.left(form, F.col("cut")).alias("first"), F.substr(form, F.col("cut") + 1).alias("last"))
     sides = {}
     for side, part in (("first", lambda n: F.left("word", n)), ("last", lambda n: F.right("word", n))):
-        sizes = F.sequence(F.lit(2), F.length("word"))
+        sizes = F.sequence(F.lit(2), F.least(F.length("word"), F.lit(longest)))
         parts = words.filter(F.length("word") >= 2).select("word", F.explode(sizes).alias("n")).select(part(F.col("n")).alias(side), (F.col("n") == F.length("word")).alias("whole"))
         asked = parts.join(split.select(side).distinct(), side, "left_semi")
         counted = asked.groupBy(side).agg(F.count("*").alias("n"), F.max("whole").alias("whole"))
